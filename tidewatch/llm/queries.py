@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, quality_model, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
+from . import decontam, langid, line_dedup, minhash, quality_model, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
 from .common import crc_fold, table
 
 
@@ -44,6 +44,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_decontamination": op7_decontamination,
+    "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
