@@ -86,8 +86,11 @@ def features(hits: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(found), found > 0, (found > 0).sum(axis=1, keepdims=True), np.log1p(total), np.log1p(odds), np.sqrt(total / size), np.sqrt(odds / size), np.log1p(size) / 5])
 
 
-def induce(labelled: DataFrame, sample_rows: int = LABELLED_ROWS) -> tuple[Lexicon, float]:
-    """labelled: doc_id, text, y.  The lexicon, and the share of rows with y = 1.
+def induce(docs: DataFrame, labelled: DataFrame, sample_rows: int = LABELLED_ROWS) -> tuple[Lexicon, float]:
+    """docs: doc_id, text; labelled: doc_id, y.  The lexicon, and the share of labels with y = 1.
+
+    If there are more labels than sample_rows, each is taken with equal chance by a hash of its id; the few that are
+    left are broadcast, so texts do not move.
 
     What comes to the driver is the MAX_INDUCED words and as many beginnings that tell most.
     """
@@ -95,10 +98,11 @@ def induce(labelled: DataFrame, sample_rows: int = LABELLED_ROWS) -> tuple[Lexic
     toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, {}), 0.1
-    rows = labelled
-    if toxic + clean > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / (toxic + clean)))
-        toxic, clean = toxic * sample_rows / (toxic + clean), clean * sample_rows / (toxic + clean)
+    known, kept = labelled, min(1.0, sample_rows / (toxic + clean))
+    if kept < 1.0:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * kept))
+        toxic, clean = toxic * kept, clean * kept
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # about sample_rows ids at most
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != ""))
     begins = F.flatten(F.array(*[F.array_distinct(F.transform(F.filter("words", lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.left(x, F.lit(n)))) for n in BEGINNINGS]))
     rows = rows.select("y", words.alias("words")).withColumn("begins", begins)
@@ -217,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[Class
     known = pick(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & (fold != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     rows = pick(docs, "doc_id", "text")
-    lexicon, share = induce(rows.join(known.where(fold != ANCHOR_FOLD), "doc_id").where(F.col("text").isNotNull()))
+    lexicon, share = induce(rows, known.where(fold != ANCHOR_FOLD))
     seen = stored(_hits(rows, lexicon), "toxicity-hits")
     anchored = seen.join(known.where(fold == ANCHOR_FOLD), "doc_id", "left").groupBy("pattern", F.coalesce("y", F.lit(-1)).alias("y"))
     patterns = anchored.agg(F.count("*").alias("n")).orderBy("pattern", "y").collect()  # at most 3 * 2**len(VOTERS) rows
