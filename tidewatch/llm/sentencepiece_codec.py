@@ -4,7 +4,9 @@ The model protobuf is parsed here (wire format, no generated code): pieces with
 fallback, normaliser.  From it a tokenizer is rebuilt: normaliser (character map, extra blanks, dummy prefix),
 metaspace marker, unigram scores or BPE merges in score order, byte fallback, decoder.  The parity of the rebuilt
 tokenizer with the sentencepiece library is verified on PROBES when a codec is made and on the first rows of every
-task.  Model bytes travel in a broadcast, so executors need no file.  Map only: no shuffle.
+task.  Where no piece can span the start of a word, words are encoded apart; texts with single blanks only, which
+are most, need no normaliser then.  Model bytes travel in a broadcast, so executors need no file.  Map only: no
+shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import pick
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters handed to the library at once; texts beyond it are cut where no piece can span the cut.
+#: Characters handed to the library at once; longer texts are cut where no piece can span the cut.
 CHUNK = 400_000
 THREADS = 2
 PARITY_ROWS = 4
@@ -112,19 +114,24 @@ class Codec:
             steps.append(normalizers.Replace(" ", MARK))
         # no piece has a marker after another character: then nothing merges across the start of a run of markers
         self.apart = m.escape and m.model_type == 2 and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in usable)
-        self.full, self.bare = Tokenizer(model), Tokenizer(model)
+        self.full, self.bare, self.single = Tokenizer(model), Tokenizer(model), Tokenizer(model)
         if steps:
             self.full.normalizer = normalizers.Sequence(steps)
         undo = [decoders.Replace(MARK, " ")] if m.escape else []
         undo += [*([decoders.ByteFallback()] if m.byte_fallback else []), decoders.Fuse()]
         undo += [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
-        for t in (self.full, self.bare):
-            if self.apart:
+        for t in (self.full, self.bare, self.single):
+            if self.apart and t is not self.single:
                 t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
             t.decoder = decoders.Sequence(undo)
             t.encode_special_tokens = True
             if own := [p for p, _, kind in m.pieces if kind == USER_DEFINED]:
                 t.add_tokens([AddedToken(p, normalized=False, special=False) for p in own])
+        self.start = re.compile(f"(?<=[^{MARK}]){MARK}")
+        # then the normal form is the text with a marker for each blank and one in front
+        self.plain = self.apart and m.dummy_prefix and not m.squeeze and not m.charsmap
+        self.single.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="always", split=True)
+        self.spelling = [bytes([int(p[3:5], 16)]) if kind == BYTE else (p.replace(MARK, " ") if m.escape else p).encode() for p, _, kind in m.pieces]
         if verify:
             self.verify(PROBES)
 
@@ -143,25 +150,47 @@ class Codec:
             own, want = self.encode([t])[0], self.peer.encode(t)
             if own != want:
                 raise ValueError(f"ids differ from the sentencepiece library's for {t[:80]!r}")
-            if self.decode([own])[0] != self.peer.decode(want):
+            back = self.decode([own])[0]
+            if back != self.peer.decode(want) or self.restores(np.array(own, np.int32), t) != (back == t):
                 raise ValueError(f"decoded text differs from the sentencepiece library's for {t[:80]!r}")
 
+    def _single(self, text: str) -> bool:
+        """Whether the normal form is a marker before each word, and the words are one blank apart."""
+        return self.plain and bool(text) and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+
     def _long(self, text: str) -> list[int]:
         normal = self.full.normalizer.normalize_str(text) if self.full.normalizer else text
         ids, at = [], 0
         while at < len(normal):
             cut = len(normal)
             if cut - at > CHUNK:
-                found = re.compile(f"(?<=[^{MARK}]){MARK}").search(normal, at + CHUNK)
+                found = self.start.search(normal, at + CHUNK)
                 cut = found.start() if found else cut
             ids += self.bare.encode(normal[at:cut], add_special_tokens=False).ids
             at = cut
         return ids
 
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        kinds: dict[str, list[int]] = {"single": [], "full": []}
+        for i, t in enumerate(texts):
+            if self.apart and len(t) > CHUNK:
+                out[i] = np.array(self._long(t), np.int32)
+            else:
+                kinds["single" if self._single(t) else "full"].append(i)
+        for kind, at in kinds.items():
+            tokenizer = self.single if kind == "single" else self.full
+            for i, e in zip(at, tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.int32)
+        return out
+
+    def restores(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the pieces of the ids spell the text; the same as decoding, from the table of pieces."""
+        spelled = b"".join(map(self.spelling.__getitem__, ids.tolist()))
+        return (spelled[1:] if self.file.dummy_prefix and spelled[:1] == b" " else spelled) == text.encode("utf-8", "surrogatepass")
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        short = [t for t in texts if len(t) <= CHUNK or not self.apart]
-        found = iter(self.full.encode_batch_fast(short, add_special_tokens=False))
-        return [next(found).ids if len(t) <= CHUNK or not self.apart else self._long(t) for t in texts]
+        return [x.tolist() for x in self.encode_batch(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.full.decode_batch(ids, skip_special_tokens=False)
@@ -198,15 +227,15 @@ def encode_documents(docs: DataFrame, path: str = MODEL, threads: int = THREADS,
             texts = [t or "" for t in b.column("text").to_pylist()]
             for start, end in _chunks(texts):
                 part = texts[start:end]
-                ids = codec.encode(part)
+                ids = codec.encode_batch(part)
+                whole = [codec.restores(x, t) for x, t in zip(ids, part, strict=True)]
                 if left > 0:
                     codec.verify([t for t in part[:left] if len(t) <= CHUNK])
                     left -= len(part)
-                back = codec.decode(ids)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                values = np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(start, end - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([x == y for x, y in zip(part, back, strict=True)])],
+                    [b.column("doc_id").slice(start, end - start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(whole)],
                     ["doc_id", "ids", "round_trip"],
                 )
 
