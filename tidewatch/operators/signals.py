@@ -6,7 +6,7 @@ explode away.  ord keeps the order of emission for ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGNAL = "struct<ord:int,id:string,category:string,weight:int,evidence:string,url:string>"
@@ -38,3 +38,13 @@ def strongest(signals: Column) -> Column:
     better = lambda a, b: (F.abs(a["s"]["weight"]) > F.abs(b["s"]["weight"])) | ((F.abs(a["s"]["weight"]) == F.abs(b["s"]["weight"])) & (a["i"] < b["i"]))
     kept = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (y["s"]["id"] == x["s"]["id"]) & better(y, x)))
     return F.transform(kept, lambda x: x["s"])
+
+
+def long_table(df: DataFrame, key: str, column: str) -> DataFrame:
+    """A row for each struct of an array column, with the key.
+
+    The outer generator and a test afterwards, as for the plain one Spark would infer a filter on the array, push it
+    below the projections that make the array, and work everything out twice.
+    """
+    first = df.schema[column].dataType.elementType.fieldNames()[0]
+    return df.select(key, F.inline_outer(column)).where(F.col(first).isNotNull())
