@@ -96,7 +96,7 @@ Provider = Callable[[DataFrame], Column]
 
 
 def analyze(df: DataFrame, providers: tuple[Provider, ...] = (), review_score: str | None = None, review_weight: float = 0.35, scoring: Scoring = Scoring()) -> DataFrame:
-    """The whole analysis of records (see sources.records.RECORD; missing columns are nulls).
+    """The whole analysis of records (see sources.records.FIELDS; missing columns are nulls).
 
     providers: functions from the frame with the rules' signals to a column of further signals, such as the model's or
     reputation's.  review_score: a column with another score of 0 to 100 to blend in.  Adds, besides what the steps

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RECORD = T.StructType.fromDDL(
-    "id STRING, type STRING, content STRING, url STRING, html STRING, sender_email STRING, sender_name STRING, reply_to STRING, "
-    "links ARRAY<STRUCT<href:STRING,text:STRING>>, headers MAP<STRING,STRING>"
-)
+FIELDS = {
+    "id": "STRING", "type": "STRING", "content": "STRING", "url": "STRING", "html": "STRING", "sender_email": "STRING", "sender_name": "STRING", "reply_to": "STRING",
+    "links": "ARRAY<STRUCT<href:STRING,text:STRING>>", "headers": "MAP<STRING,STRING>",
+}
+RECORD = ", ".join(f"{k} {v}" for k, v in FIELDS.items())
 # The limits of a record.
 TYPES = ("auto", "message", "email", "sms", "chat", "whatsapp", "social", "url", "website")
 MAX_CONTENT, MAX_URL, MAX_LINKS, MAX_LABEL, MAX_ADDRESS, MAX_NAME, MAX_HEADERS, MAX_KEY, MAX_VALUE = 200_000, 2048, 100, 300, 320, 200, 60, 80, 2000
@@ -35,12 +35,9 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def records(df: DataFrame) -> DataFrame:
-    """df with all columns of RECORD, missing ones as nulls of their type, further ones kept."""
+    """df with all columns of FIELDS, missing ones as nulls of their type, further ones kept."""
     have = set(df.columns)
-    for f in RECORD.fields:
-        if f.name not in have:
-            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return df
+    return df.withColumns({k: F.lit(None).cast(v) for k, v in FIELDS.items() if k not in have})
 
 
 def validated(df: DataFrame) -> DataFrame:
