@@ -6,11 +6,14 @@
    MATCHES coordinates must share one of the first m - MATCHES + 1 of a class's m remaining values in any fixed
    order; ordered by how often a value occurs, that prefix is the rarest ones, and the long lists are skipped: they
    are only looked at again when the signatures of a candidate pair are counted.
-3. Lists are not expanded into all pairs.  In each round the members of a list that are not yet known to be
-   connected are paired with one pivot of the list, pairs with MATCHES equal coordinates are confirmed on the full
-   sets of their whole texts, and the confirmed links are merged into components.  After STAR_ROUNDS such rounds,
-   what is left are lists whose members lie in different components; there every pair of members of different
-   components is looked at, so no link is lost.
+3. Lists are not expanded into all pairs.  Each list has a pivot, its member with the most values that others share.
+   Every other member is compared to the pivot alone, on the full sets of their whole texts, which gives the
+   elements in which the two sets differ.  Two members are linked exactly if their differences from the same pivot
+   differ little enough, and that takes a common element of the differences unless both are linked to the pivot; so
+   members far from the pivot are found by a second inverted join, on elements of differences, of which most occur
+   once and drop out.  Members that share little with the pivot stay in the list for the next round and pivot.
+4. What is left after ROUNDS rounds are members of lists that belong to different components and to no common pivot;
+   there every pair of different components is looked at, so no link is lost.
 
 A pair at exactly the threshold 0.8 agrees in fewer than MATCHES of the COORDINATES with a chance of about one in a
 million.  All tables between the steps are written to the shared folder.
@@ -25,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
@@ -35,7 +38,11 @@ COORDINATES = 48
 MATCHES = 24
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 80
-STAR_ROUNDS = 2
+ROUNDS = 4
+#: Members with fewer equal coordinates with the pivot are strangers to it; those with fewer than SETTLED stay for the
+#: next pivot.  Links join members whose similarities to a pivot differ by 0.2 at most, so the gap between the two is
+#: wider than that, and no link falls between a stranger and a settled member.
+STRANGE, SETTLED = 12, 28
 #: A list of ids up to this length may be broadcast; a longer one is shuffled.
 MAX_BROADCAST_IDS = 200_000
 _BLOCK = 8192
@@ -103,32 +110,33 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """classes: id, sig.  (key, id) of every class's prefix: its rarest values, as many as it needs."""
+    """classes: id, sig.  (id, m, key) of every class's prefix: its rarest values, as many as it needs; m is how many
+    of its values others have too."""
     posted = classes.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.xxhash64("c", "v").alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
     grouped = posted.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     need = F.size("keys") - MATCHES + 1
     prefix = F.transform(F.slice("keys", F.lit(1), F.greatest(need, F.lit(0))), lambda x: x["key"])
-    return grouped.where(need >= 1).select("id", F.explode(prefix).alias("key"))
+    return grouped.where(need >= 1).select("id", F.size("keys").alias("m"), F.explode(prefix).alias("key"))
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link and whose signatures agree in MATCHES coordinates."""
+def _equal(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with same, the number of equal coordinates of their signatures, and their sizes n_a, n_b."""
     sigs = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(sigs("a"), "a").join(sigs("b"), "b")
-    sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return both.where(sizes & (same >= MATCHES)).select("a", "b")
+    return both.select("a", "b", "n_a", "n_b", same.alias("same"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.  Texts travel, not sets: they are smaller."""
+def _differences(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """a, b, n_a, n_b, d: the elements that are in one of the full sets of a and b only.  Texts travel, not sets:
+    they are smaller."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     if ids.count() <= MAX_BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     texts = lambda x, t=texts: t.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b").join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -142,15 +150,63 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             return memo[i]
 
         for batch in batches:
-            a, b, links = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                s, t = of(y, batch.column("text_b")[i]), of(x, batch.column("text_a")[i])
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                    links.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in links], pa.int64()), pa.array([b[i] for i in links], pa.int64())], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for start in range(0, len(a), 256):
+                sizes, parts = [], []
+                for i in range(start, min(start + 256, len(a))):
+                    t, s = of(b[i], batch.column("text_b")[i]), of(a[i], batch.column("text_a")[i])
+                    sizes.append((len(s), len(t)))
+                    parts.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                end = start + len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[start:end], pa.int64()), pa.array(b[start:end], pa.int64()), pa.array([x for x, _ in sizes], pa.int64()), pa.array([y for _, y in sizes], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))],
+                    ["a", "b", "n_a", "n_b", "d"],
+                )
+
+    return both.mapInArrow(run, "a long, b long, n_a long, n_b long, d array<long>")
+
+
+def _linked() -> Column:
+    """100 * intersection >= PERCENT * union, said by the sizes and the difference of two sets."""
+    return (100 - PERCENT) * (F.col("n_a") + F.col("n_b")) >= (100 + PERCENT) * F.size("d")
+
+
+def _links_around(compared: DataFrame) -> DataFrame:
+    """compared: a, b (the pivot), n_a, n_b, d.  The linked pairs (a, b) of members of one pivot of which one at
+    least is not linked to the pivot itself.
+
+    With the differences D from a common pivot, two sets differ in |Dx| + |Dy| - 2 |Dx and Dy| elements.  Elements
+    that one member alone has cannot be common; from what remains follows how much a member can give and must find.
+    """
+    far = ~_linked()
+    groups = compared.groupBy("b").agg(F.count("*").alias("n"), F.max(far).alias("far")).where("n >= 2 AND far").select("b")
+    rows = compared.join(groups, "b", "left_semi").withColumn("far", far)
+    step = 2 * (100 + PERCENT)  # a pair is linked if step * common elements >= the sum of both weights
+    weight = (100 + PERCENT) * F.size("d") - (100 - PERCENT) * F.col("n_a")
+    rows = rows.select("b", "a", "far", weight.alias("w"), F.explode("d").alias("e"))
+    shared = rows.groupBy("b", "e").agg(F.count("*").alias("often")).where("often >= 2")
+    members = rows.join(shared, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("elements"), F.first("far").alias("far"), F.first("w").alias("w"))
+    gives = stored(members.withColumn("m", F.size("elements")).withColumn("most", step * F.col("m") - F.col("w")), "gives")
+    best = gives.groupBy("b").agg(F.max("most").alias("best"))
+    seeking = gives.where("far").join(best, "b").where("w <= best").select("b", "a", "m", "w", "elements")
+    bounds = seeking.groupBy("b").agg(F.min("w").alias("least"))
+    offering = gives.join(bounds, "b").where("most >= least").select("b", "a", "m", "w", "elements")
+
+    def prefix(own: DataFrame, others: DataFrame, name: str) -> DataFrame:
+        """The rarest elements of each member, one more than it can do without in any link."""
+        lightest = others.groupBy("b").agg(F.min("w").alias("least"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / step)).cast("int")
+        rarest = F.transform(F.slice("elements", F.lit(1), F.greatest(F.col("m") - need + 1, F.lit(0))), lambda x: x["e"])
+        return own.join(lightest, "b").select("b", F.explode(rarest).alias("e"), F.col("a").alias(name), F.col("m").alias(f"m_{name}"), F.col("w").alias(f"w_{name}"))
+
+    x, y = prefix(seeking, offering, "x"), prefix(offering, seeking, "y")
+    able = (F.col("x") != F.col("y")) & (step * F.least("m_x", "m_y") >= F.col("w_x") + F.col("w_y"))
+    pairs = x.alias("l").join(y.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.e") == F.col("r.e")) & able).select("l.b", "x", "y", (F.col("w_x") + F.col("w_y")).alias("w")).distinct()
+    of = lambda name: compared.select("b", F.col("a").alias(name), F.col("d").alias(f"d_{name}"))
+    pairs = pairs.join(of("x"), ["b", "x"]).join(of("y"), ["b", "y"])
+    linked = step * F.size(F.array_intersect("d_x", "d_y")) >= F.col("w")
+    return pairs.where(linked).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,38 +242,35 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     # equal sets are one class, named by its smallest doc_id; its text is read again by that id and set
     classes = stored(linkable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     posted = stored(postings(classes), "postings")
-    labels, failed = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    labels = None
+    for turn in range(ROUNDS + 1):
         if labels is None:
             members = posted.withColumn("comp", F.col("id"))
         else:
-            members = posted.join(labels, "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
-        lists = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("id").alias("first"), F.max(F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")).alias("any"))
-        lists = lists.where("least < most")
-        if turn < STAR_ROUNDS:
-            pivot = F.col("first") if turn == 0 else F.col("any")["id"]
-            pairs = members.join(lists.select("key", pivot.alias("pivot"), (F.col("first") if turn == 0 else F.col("any")["comp"]).alias("p_comp")), "key")
-            pairs = pairs.where((F.col("id") != F.col("pivot")) & (F.col("comp") != F.col("p_comp"))).select(F.col("id").alias("x"), F.col("pivot").alias("y"))
+            members = posted.join(labels, "id", "left").select("id", "m", "key", F.coalesce("comp", "id").alias("comp"))
+        lists = members.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max(F.struct("m", (-F.col("id")).alias("i"))).alias("top"))
+        lists = lists.where("least < most").select("key", (-F.col("top")["i"]).alias("pivot"))
+        if turn < ROUNDS:
+            members = stored(members.join(lists, "key"), "members")
+            if members.isEmpty():
+                break
+            pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+            near = stored(_equal(pairs, classes).where(F.col("same") >= STRANGE), "near")
+            compared = stored(_differences(near, rows, k), "compared")
+            links = compared.where(_linked()).select("a", "b").union(_links_around(compared))
+            settled = near.where(F.col("same") >= SETTLED).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+            posted = stored(members.where("id <> pivot").join(settled, ["id", "pivot"], "left_anti").select("id", "m", "key"), "postings")
         else:
             open_lists = members.join(lists.select("key"), "key", "left_semi")
-            left, right = (open_lists.select("key", F.col("id").alias(x), F.col("comp").alias(f"c_{x}")) for x in ("x", "y"))
-            pairs = left.join(right, "key").where("x < y AND c_x <> c_y").select("x", "y")
-        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        near = _near(pairs, classes)
-        if failed is not None:
-            near = near.join(failed, ["a", "b"], "left_anti")
-        near = stored(near, "near")
-        if near.isEmpty():
-            continue
-        linked = stored(_confirmed(near, rows, k).distinct(), "links")
-        tried = near.join(linked, ["a", "b"], "left_anti")
-        failed = stored(tried if failed is None else failed.union(tried), "failed")
-        if linked.isEmpty():
-            continue
-        edges = linked
-        if labels is not None:
-            edges = labels.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(linked)
-        labels = components(edges)
+            left, right = (open_lists.select("key", F.col("id").alias(x), F.col("comp").alias(f"c_{x}")) for x in ("b", "a"))
+            pairs = left.join(right, "key").where("b < a AND c_a <> c_b").select("a", "b").distinct()
+            sizes = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+            near = stored(_equal(pairs, classes).where(sizes & (F.col("same") >= MATCHES)), "near")
+            links = _differences(near, rows, k).where(_linked()).select("a", "b")
+        links = stored(links, "links")
+        if not links.isEmpty():
+            known = links if labels is None else links.union(labels.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+            labels = components(known)
     named = signed.join(classes.select("f1", "f2", "id"), ["f1", "f2"], "left") if labels is None else signed.join(
         classes.select("f1", "f2", "id").join(labels, "id", "left").select("f1", "f2", F.coalesce("comp", "id").alias("id")), ["f1", "f2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id"))
