@@ -28,8 +28,9 @@ def metrics(rows: DataFrame, truth: str, predicted: Column, *by: str) -> DataFra
 def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """One row, auc (4 places; null with one class only): by ranks of distinct scores, so that nothing but counts by
     score is ordered."""
-    by = rows.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select(F.col(truth).alias("_y"), F.col(score).alias("_s")).where(F.col("_y").isNotNull() & F.col("_s").isNotNull())
+    by = rows.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
     return wins.agg(half_up(F.sum("w") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 4).alias("auc"))
 

@@ -30,9 +30,10 @@ def live_trend(rows: DataFrame, at: str, level: str, late: str = "1 hour", windo
     return rows.withWatermark(at, late).groupBy(F.window(at, window), level).agg(F.count("*").alias("n"))
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, window_s: int = 60, most: int = 60) -> DataFrame:
+def rate_limit(requests: DataFrame, key: str, at: str, window_s: int = 60, most: int = 60, late: str = "10 minutes") -> DataFrame:
     """key, at, n, remaining, limited for each request of a stream: fixed windows that start with a key's first request
-    after the last window's end.  The state of a key (two numbers) is dropped two windows after its last request."""
+    after the last window's end.  Rows later than ``late`` are left out; the state of a key (two numbers) is dropped
+    when the watermark is two windows past the end of its last one."""
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,11 +53,11 @@ def rate_limit(requests: DataFrame, key: str, at: str, window_s: int = 60, most:
             out["limited"] = out["n"] > most
             yield out
         state.update((count, reset))
-        state.setTimeoutDuration(2 * window_s * 1000)
+        state.setTimeoutTimestamp(max(reset // 1000 + 2 * window_s * 1000, state.getCurrentWatermarkMs() + 1))
 
     kinds = dict(requests.dtypes)
     out = f"{key} {kinds[key]}, {at} timestamp, n long, remaining long, limited boolean"
-    return requests.select(key, at).groupBy(key).applyInPandasWithState(step, out, "count long, reset long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark(at, late).select(key, at).groupBy(key).applyInPandasWithState(step, out, "count long, reset long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep_latest(rows: DataFrame, path: str, at: str, most: int, checkpoint: str) -> StreamingQuery:
