@@ -42,7 +42,9 @@ ROUNDS = 4
 #: Members with fewer equal coordinates with the pivot are strangers to it; those with fewer than SETTLED stay for the
 #: next pivot.  Links join members whose similarities to a pivot differ by 0.2 at most, so the gap between the two is
 #: wider than that, and no link falls between a stranger and a settled member.
-STRANGE, SETTLED = 12, 28
+STRANGE, SETTLED = 8, 24
+#: Weights of differences (180 an element) that make a class.
+CLASS_WIDTH = 360
 #: A list of ids up to this length may be broadcast; a longer one is shuffled.
 MAX_BROADCAST_IDS = 200_000
 _BLOCK = 8192
@@ -189,20 +191,28 @@ def _links_around(compared: DataFrame) -> DataFrame:
     members = rows.join(shared, ["b", "e"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("elements"), F.first("far").alias("far"), F.first("w").alias("w"))
     gives = stored(members.withColumn("m", F.size("elements")).withColumn("most", step * F.col("m") - F.col("w")), "gives")
     best = gives.groupBy("b").agg(F.max("most").alias("best"))
-    seeking = gives.where("far").join(best, "b").where("w <= best").select("b", "a", "m", "w", "elements")
+    seeking = gives.where("far").join(best, "b").where("w <= best").drop("best")
     bounds = seeking.groupBy("b").agg(F.min("w").alias("least"))
-    offering = gives.join(bounds, "b").where("most >= least").select("b", "a", "m", "w", "elements")
-
-    def prefix(own: DataFrame, others: DataFrame, name: str) -> DataFrame:
-        """The rarest elements of each member, one more than it can do without in any link."""
-        lightest = others.groupBy("b").agg(F.min("w").alias("least"))
+    offering = gives.join(bounds, "b").where("most >= least").drop("least")
+    # members of like weight are a class; what a link must share follows more sharply from a pair of classes
+    of_class = F.floor(F.col("w") / CLASS_WIDTH)
+    seeking, offering = (t.select("b", of_class.alias("c"), "a", "far", "m", "w", "most", "elements") for t in (seeking, offering))
+
+    def prefix(own: DataFrame, others: DataFrame, name: str, other: str) -> DataFrame:
+        """For each class of the others, the rarest elements of each member, one more than a link can do without."""
+        classes = others.groupBy("b", F.col("c").alias(f"c_{other}")).agg(F.min("w").alias("least"), F.max("most").alias("best"))
         need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / step)).cast("int")
+        both = own.join(classes, "b").where("w <= best AND least <= most")
         rarest = F.transform(F.slice("elements", F.lit(1), F.greatest(F.col("m") - need + 1, F.lit(0))), lambda x: x["e"])
-        return own.join(lightest, "b").select("b", F.explode(rarest).alias("e"), F.col("a").alias(name), F.col("m").alias(f"m_{name}"), F.col("w").alias(f"w_{name}"))
-
-    x, y = prefix(seeking, offering, "x"), prefix(offering, seeking, "y")
-    able = (F.col("x") != F.col("y")) & (step * F.least("m_x", "m_y") >= F.col("w_x") + F.col("w_y"))
-    pairs = x.alias("l").join(y.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.e") == F.col("r.e")) & able).select("l.b", "x", "y", (F.col("w_x") + F.col("w_y")).alias("w")).distinct()
+        both = both.select("b", F.col("c").alias(f"c_{name}"), f"c_{other}", F.posexplode(rarest).alias("at", "e"), F.col("a").alias(name), F.col("far").alias(f"far_{name}"), "m", F.col("w").alias(f"w_{name}"))
+        return both.withColumn(f"m_{name}", F.col("m") - F.col("at")).drop("m", "at")
+
+    x, y = prefix(seeking, offering, "x", "y"), prefix(offering, seeking, "y", "x")
+    # m_x and m_y: elements from the common one on; the first common one of a link leaves enough after it in both
+    # two far members would meet twice, once as each other's x and y
+    able = (F.col("x") != F.col("y")) & (~F.col("far_y") | (F.col("x") < F.col("y"))) & (step * F.least("m_x", "m_y") >= F.col("w_x") + F.col("w_y"))
+    alike = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("b", "c_x", "c_y", "e")]
+    pairs = x.alias("l").join(y.alias("r"), [*alike, able]).select("l.b", "x", "y", (F.col("w_x") + F.col("w_y")).alias("w")).distinct()
     of = lambda name: compared.select("b", F.col("a").alias(name), F.col("d").alias(f"d_{name}"))
     pairs = pairs.join(of("x"), ["b", "x"]).join(of("y"), ["b", "y"])
     linked = step * F.size(F.array_intersect("d_x", "d_y")) >= F.col("w")

@@ -244,8 +244,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Da
     if any is; null labels and ids are left out.  Null and empty texts have no hits and get the score of such texts.
     Without labels only the fixed lexicon and the patterns' priors decide.  Each row gives one row.
     """
-    classifier, seen = train(docs, labels, folds)
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    scored = score_hits(*train(docs, labels, folds))
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def score_hits(classifier: Classifier, seen: DataFrame) -> DataFrame:
+    """doc_id, score of a table of hits."""
+    shared = seen.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,20 +261,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Da
             hits = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score_hits(hits), pa.float64())], ["doc_id", "score"])
 
-    scored = seen.select("doc_id", "hits").mapInArrow(run, "doc_id long, score double")
-    held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-def score_texts(docs: DataFrame, classifier: Classifier, name: str = "toxicity") -> DataFrame:
-    """docs with one more column, the score of its text; all other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
-
-    @F.pandas_udf("double")
-    def score(text):  # noqa: ANN001, ANN202  the annotations would be read by Spark
-        import pandas as pd
-
-        known = shared.value
-        return pd.Series(known.score_hits(np.array([known.lexicon.hits(t) for t in text])) if len(text) else np.zeros(0))
-
-    return docs.withColumn(name, score(F.col("text")))
+    return seen.select("doc_id", "hits").mapInArrow(run, "doc_id long, score double")
