@@ -19,11 +19,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject.  Texts do not move: only the hits of each are kept to
-    train on, and the texts are scored where they are read."""
-    classifier, _ = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_texts(pick(docs, *COLUMNS), classifier, "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
+    """Documents that the toxicity classifier does not reject; rows without a doc_id stay."""
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1").select("doc_id").distinct())
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
