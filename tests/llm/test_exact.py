@@ -115,6 +115,24 @@ def test_masks_cover_three_substitutions():
         assert any(all(at + o not in wrong for o in m) for m in decontam.MASKS for at in range(decontam.WINDOW - max(m)))
 
 
+def test_every_permitted_substitution_is_found(spark):
+    """Items of 8 to 16 words, and a longer one, each with every set of substitutions that MIN_SHARE permits and one set too many."""
+    bench, docs, want = [], [], {}
+    for n in [*range(8, 17), 18]:
+        item = [f"i{n}w{k}" for k in range(n)]
+        bench.append((n, " ".join(item)))
+        w = min(n, decontam.WINDOW)
+        most = w - -(-4 * w // 5)
+        for wrong in [*itertools.combinations(range(w), most), tuple(range(most + 1))]:
+            words = ["changed" if k in wrong else x for k, x in enumerate(item[:w])]
+            for before in ([], ["before"]):
+                want[len(docs)] = [n] if len(wrong) == most else []
+                docs.append((len(docs), " ".join(before + words)))
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        assert {r["doc_id"]: r["item_ids"] for r in decontam.decontaminate(df, items, limit).collect()} == want
+
+
 def test_decontamination(spark, sf_dir, texts):
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
     clean = lambda t: t.lower().translate(str.maketrans("", "", decontam.PUNCTUATION)).split()

@@ -1,8 +1,9 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed is a hash of the words at fixed offsets (a mask); the positions between do not matter, so a substituted word
-there does not hide an overlap.  MASKS are chosen so that any WINDOW words in a row with at most 3 substituted words
-hold a seed without one (checked in the tests).  Seeds of all document positions are joined to the seeds of the
+there does not hide an overlap.  Each mask is laid at every start where it fits, and MASKS are chosen so that in WINDOW
+words in a row, and in all words of an item of SPAN words or more, any substitutions that MIN_SHARE permits leave a seed
+without one (checked in the tests, for each length).  Seeds of all document positions are joined to the seeds of the
 benchmark, and around each hit the aligned words are compared: a document is contaminated if in some window of
 WINDOW benchmark words (or of a shorter item's all words) at least MIN_SHARE stand at the aligned places.
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, BLANKS, pick
 
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 3, 4, 5, 6), (0, 1, 2, 4, 5, 7))
+MASKS = ((0, 3, 4, 6, 7), (0, 2, 3, 4, 5), (0, 1, 2, 3, 7))
+SHORTEST = min(max(m) for m in MASKS) + 1
 SPAN = 8
 WINDOW = 16
 MIN_SHARE = 0.8
@@ -34,6 +36,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seeds(words: str, at: Column) -> Column:
+    """One seed for each mask.  A mask that ends past the last word has a seed of fewer words; no seed of an item is like it."""
     return F.array(*[F.xxhash64(F.lit(m), *[F.get(words, at + o) for o in mask]) for m, mask in enumerate(MASKS)])
 
 
@@ -50,16 +53,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MA
     items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("iw")).where(F.size("iw") > 0)
     items = items.withColumn("len", F.size("iw"))
     whole = [r["len"] for r in items.where(F.col("len") < SPAN).select("len").distinct().collect()]  # at most SPAN - 1 numbers
-    long = items.where(F.col("len") >= SPAN).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("len") - SPAN)))
-    seeds = long.select("item_id", "j", F.explode(_seeds("iw", F.col("j"))).alias("seed"))
+    long = items.where(F.col("len") >= SPAN).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("len") - SHORTEST)))
+    seeds = long.select("item_id", "j", "len", F.posexplode(_seeds("iw", F.col("j"))).alias("m", "seed"))
+    seeds = seeds.where(F.col("j") + F.get(F.array(*[F.lit(max(m)) for m in MASKS]), F.col("m")) < F.col("len")).select("item_id", "j", "seed")
     for n in whole:
         seeds = seeds.union(items.where(F.col("len") == n).select("item_id", F.lit(0).alias("j"), _whole("iw", F.lit(0), n).alias("seed")))
     small = seeds.count() <= max_broadcast
 
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("row_hash"), word_hashes(F.col("text")).alias("dw"))
     # no filter on the number of words here: Spark would push it below and hash every text twice
-    at = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("dw") - min([*whole, SPAN]), F.lit(0)))))
-    own = F.when(F.col("i") + SPAN <= F.size("dw"), _seeds("dw", F.col("i"))).otherwise(F.array().cast("array<bigint>"))
+    at = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("dw") - min([*whole, SHORTEST]), F.lit(0)))))
+    own = F.when(F.col("i") + SHORTEST <= F.size("dw"), _seeds("dw", F.col("i"))).otherwise(F.array().cast("array<bigint>"))
     for n in whole:
         own = F.concat(own, F.when(F.col("i") + n <= F.size("dw"), F.array(_whole("dw", F.col("i"), n))).otherwise(F.array().cast("array<bigint>")))
     key = ["doc_id", "row_hash"]
@@ -77,7 +81,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MA
 def _verified(hits: DataFrame, key: list[str]) -> DataFrame:
     """The windows around each hit, compared word by word; the best of each document and item."""
     hits = hits.withColumn("w", F.least("len", F.lit(WINDOW)))
-    first, last = F.greatest(F.lit(0), F.col("j") + F.least("len", F.lit(SPAN)) - F.col("w")), F.least(F.col("j"), F.col("len") - F.col("w"))
+    first, last = F.greatest(F.lit(0), F.col("j") + F.least("len", F.lit(SHORTEST)) - F.col("w")), F.least(F.col("j"), F.col("len") - F.col("w"))
     same = lambda k: F.when(F.get("iw", k) == F.get("dw", k + F.col("shift")), 1).otherwise(0)
     score = lambda s: F.aggregate(F.sequence(s, s + F.col("w") - 1), F.lit(0), lambda a, k: a + same(k))
     # matched words in the upper half, the start (moved to be positive) in the lower: a long has a fast maximum
