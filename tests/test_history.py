@@ -1,10 +1,13 @@
 """History, reputation, limits and streams."""
 
 import datetime as dt
+import math
+import statistics
 
 from pyspark.sql import functions as F
 
 from tidewatch.plans import evaluate, history
+from tidewatch.queries import QUERIES
 from tidewatch.sources import records
 from tidewatch.streaming import live
 
@@ -45,6 +48,30 @@ def test_threshold_prefers_the_middle_of_a_plateau(spark):
     assert evaluate.roc_auc(rows, "y", "p").first()["auc"] == 1.0
 
 
+def test_threshold_over_300_halves(spark, tmp_path):
+    """The query against brute force over 300 stratified halves of a small table, in the order of Spark's own hash."""
+    rows = [(i, i % 3 % 2) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    scored = [(i, y, math.floor((i * 7919 % 1000 + y * 400) / 1.4) / 1000) for i, y in rows]
+    hashed = spark.range(60).crossJoin(spark.range(1, 301).select(F.col("id").cast("int").alias("r"))).select("r", "id", F.xxhash64(F.lit(42), "r", "id").alias("h")).collect()
+    order = {(x["r"], x["id"]): x["h"] for x in hashed}
+    picks = []
+    for r in range(1, 301):
+        tune = []
+        for y in (0, 1):
+            of = sorted((x for x in scored if x[1] == y), key=lambda x: (order[r, x[0]], x[0]))
+            tune += of[: len(of) // 2]
+        p, n, plateau, best = sum(x[1] for x in tune), sum(1 - x[1] for x in tune), [], -1.0
+        for c in evaluate.CANDIDATES:
+            recall, fpr = sum(x[1] for x in tune if x[2] >= c) / max(1, p), sum(1 - x[1] for x in tune if x[2] >= c) / max(1, n)
+            if fpr <= 0.4 and recall >= best:
+                plateau, best = ([c] if recall > best else [*plateau, c]), recall
+        picks.append(statistics.median(plateau) if plateau else 0.5)
+    got = QUERIES["threshold_robust"](spark, str(tmp_path)).first()
+    want = (statistics.median(picks), min(picks), max(picks), statistics.pstdev(picks))
+    assert all(abs(g - w) < e for g, w, e in zip(got, want, (0.0051, 1e-9, 1e-9, 5.1e-5), strict=True))
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("1", "nonsense", "hello", None), ("2", "sms", "  ", None), ("3", "url", None, "http://a.b"), ("4", "email", "x" * 200_001, None)], "id string, type string, content string, url string")
     good, bad = records.split_errors(df)

@@ -237,7 +237,7 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.robust_threshold(_scored_labels(spark, sf_dir), "quality", "score", "doc_id", repeats=20, max_fpr=0.4)
+    return evaluate.robust_threshold(_scored_labels(spark, sf_dir), "quality", "score", "doc_id", max_fpr=0.4)
 
 
 def latency_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
