@@ -1,10 +1,15 @@
 """Scalars: texts, addresses, mails, pages, patterns."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import fixtures
 from tidewatch.functions import derive, html, mail, rx, text, urls
 from tidewatch.functions import knowledge as K
+from tidewatch.queries import QUERIES
 
 
 def one(spark, make, *values):
@@ -74,3 +79,17 @@ def test_border_is_ascii_and_end_is_the_end(spark):
 def test_fixed_values():
     assert len(K.BRANDS) == 45 and len(K.TACTICS) == 16 and sum(len(t[5]) for t in K.TACTICS) == 103
     assert len(K.HOMOGLYPHS_FROM) == len(K.HOMOGLYPHS_TO) and len(K.LEET_FROM) == len(K.LEET_TO)
+
+
+def test_normal_forms_read_whole_contents(spark, tmp_path):
+    """Documents that differ only far behind the snippet, and one with other letters there, against brute force."""
+    texts = {0: "a b " * 300 + "end", 20: "a b " * 300 + "enf", 40: "", 60: "zażółć gęślą jaźń " * 40, 61: "x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["record_id"], r["entropy"]) for r in QUERIES["normal_forms"](spark, str(tmp_path)).collect()}
+    for i, t in texts.items():
+        content, h = f"{fixtures.TEXTS[i % len(fixtures.TEXTS)]} {t}", 0x811C9DC5
+        for x in content:
+            h = (h ^ ord(x)) * 0x01000193 % 2**32
+        bits = -sum(k / len(content) * math.log2(k / len(content)) for k in Counter(content).values())
+        assert got[i][0] == f"{h:08x}" and abs(got[i][1] - bits) < 1e-6
+    assert len({x for x, _ in got.values()}) == len(texts)

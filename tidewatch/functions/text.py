@@ -96,10 +96,12 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
 def entropy(c: Column) -> Column:
     """Shannon entropy in bits a character; 0 for empty texts."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.greatest(F.size(chars), F.lit(1)).cast("double")
-    share = lambda x: (F.size(chars) - F.size(F.array_remove(chars, x))) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
+    chars = F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    size = F.length(c)
+    # each character is taken out of what the ones before have left, so that frequent ones are passed once
+    state = lambda rest, left, n, h: F.struct(rest.alias("rest"), left.alias("left"), n.alias("n"), h.alias("h"))
+    less = lambda a, r: let(F.struct(F.length(r).alias("left"), ((a["left"] - F.length(r)) / a["n"]).alias("p")), lambda v: state(r, v["left"], a["n"], a["h"] - v["p"] * F.log2(v["p"])))
+    return F.aggregate(chars, state(c, size, size, F.lit(0.0)), lambda a, x: let(F.replace(a["rest"], x, F.lit("")), lambda r: less(a, r)), lambda a: a["h"])
 
 
 def upper_ratio(c: Column) -> Column:
@@ -126,9 +128,9 @@ def occurrences(haystack: Column, needle: str) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a of the UTF-8 bytes' ASCII values, 32 bits, as 8 hex digits (the record id)."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    step = lambda h, x: F.pmod(h.bitwiseXOR(x) * F.lit(16777619), F.lit(1 << 32))
-    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), step)), 8, "0"))
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    step = lambda h, x: (h.bitwiseXOR(F.ascii(x)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(2166136261).cast("long"), step)), 8, "0"))
 
 
 _SCAN = r"\b((?:https?://|www\.)[^\s<>\"'`)\]}]+|(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\s<>\"'`)\]}]*)?)"

@@ -104,7 +104,7 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    return messages(spark, sf_dir).select("doc_id", F.md5(text.canonical(text.despaced(c))).alias("canonical"), text.fnv1a(F.substring(c, 1, 60)).alias("record_id"), F.round(text.entropy(F.substring(c, 1, 200)), 6).alias("entropy"))
+    return messages(spark, sf_dir).select("doc_id", F.md5(text.canonical(text.despaced(c))).alias("canonical"), text.fnv1a(c).alias("record_id"), F.round(text.entropy(c), 6).alias("entropy"))
 
 
 def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
