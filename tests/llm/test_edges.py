@@ -95,3 +95,36 @@ def test_all_lines_dropped_leave_an_empty_text(spark):
     df = spark.createDataFrame([(i, f"  {line.upper()} \n{line}" if i else line) for i in range(4)] + [(None, line)], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()}
     assert got[0] == ("", 1, 1) and got[1] == ("", 2, 2) and got[3] == (f"  {line.upper()} \n{line}", 2, 0) and got[None] == (line, 1, 0)
+
+
+def test_null_and_repeated_items(spark):
+    words = [f"w{i}" for i in range(24)]
+    bench = spark.createDataFrame([(None, " ".join(words[:12])), (7, " ".join(words[12:])), (7, "other text of the same id that is in no document at all"), (7, " ".join(words[12:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:12])), (None, " ".join(words)), (2, "some words of no item"), (2, " ".join(["x", *words[12:], "y"]))], "doc_id long, text string")
+    for limit in (decontam.MAX_BROADCAST_SEEDS, 0):
+        got = sorted((str(r["doc_id"]), r["contaminated"], r["n_items"], r["item_ids"]) for r in decontam.decontaminate(docs, bench, limit).collect())
+        assert got == [("1", True, 1, []), ("2", False, 0, []), ("2", True, 1, [7]), ("None", True, 2, [7])]
+
+
+def test_a_doc_id_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "alone")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_two_texts_of_a_doc_id_lose_their_own_lines(spark):
+    line = "a line that is long enough to count"
+    df = spark.createDataFrame([(1, line), (2, line), (3, line), (1, f"own\n{line}\nwords")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()) == [(1, ""), (1, "own\nwords"), (2, ""), (3, line)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_column_of_nulls(spark, labels, benchmark, name):
+    nulls = spark.createDataFrame([(1, None, None), (None, None, None), (2, None, "en")], SCHEMA)
+    assert len(operators(nulls, labels, benchmark)[name](nulls).collect()) == 3
+
+
+def test_shards_of_nulls_and_repeats(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (None, "b"), (2, "")], "doc_id long, text string")
+    sharding.write_shards(df, f"{tmp_path}/s", n_shards=2)
+    assert spark.read.parquet(f"{tmp_path}/s").select("doc_id", "text").exceptAll(df).count() == 0 and spark.read.parquet(f"{tmp_path}/s").count() == 5

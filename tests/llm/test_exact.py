@@ -25,12 +25,16 @@ def labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def test_line_dedup_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", ORACLE_SQL)
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = con.sql(ORACLE_SQL["op5_line_dedup"]).fetchall()
-    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in QUERIES["op5_line_dedup"](spark, sf_dir).collect()]
-    assert sorted(want) == sorted(got)
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(columns).collect())
 
 
 def test_base_counts(spark, sf_dir, texts):
@@ -245,3 +249,115 @@ def test_digest_is_of_utf8(spark):
     df = spark.createDataFrame([(1, "é\nü")], "doc_id long, text string")
     kept = line_dedup.dedup_lines(df).select(F.sha2("text", 256).alias("h")).first()["h"]
     assert kept == hashlib.sha256("é\nü".encode()).hexdigest()
+
+
+def test_url_classifier_held_out(spark):
+    rows = [(u, 1) for u in url_filter.UNWANTED] + [(u, 0) for u in url_filter.WANTED]
+    model = url_filter.train(spark.createDataFrame([r for i, r in enumerate(rows) if i % 4], "url string, label int"))
+    held = spark.createDataFrame([(u, y) for i, (u, y) in enumerate(rows) if not i % 4], "url string, y int").withColumn("page_id", F.monotonically_increasing_id())
+    got = url_filter.judge_urls(held, model, rules=()).join(held, "page_id").collect()
+    good, bad = [r["score"] for r in got if r["y"]], [r["score"] for r in got if not r["y"]]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+
+
+def test_url_method_on_odd_urls(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    rows = [(1, "http://user:pw@HOST.net:8080/p;x?q"), (2, "https://a.net/" + "x" * 50_000), (3, "ftp://b.net#f"), (4, "://c.net/d"), (5, "http://"), (6, "")]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), model).collect()}
+    assert (got[1]["host"], got[1]["path"]) == ("user:pw@host.net:8080", "/p;x") and got[3]["host"] == "b.net" and got[4]["host"] == "c.net" and got[5]["host"] == got[6]["host"] == ""
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_scores_against_brute_force():
+    from tidewatch.llm import langid
+
+    model = langid.Model({(0, "a"): {"one": 3, "two": 1}, (0, "b"): {"two": 4}, (1, "a"): {"o": 4, "n": 3, "e": 3}, (1, "b"): {"t": 4, "w": 4, "o": 4}}, {(0, "a"): 4, (0, "b"): 4, (1, "a"): 10, (1, "b"): 12})
+    share = lambda n, total: np.log(max(langid.FLOOR, n / total))
+    unseen = np.mean([[share(4, 10), share(4, 12)], [share(3, 10), share(0, 12)]], axis=0)  # "on" by its letters
+    total = np.array([share(3, 4), share(0, 4)]) + 2 * np.array([share(1, 4), share(4, 4)]) + unseen
+    best, score = model.predict("one two TWO on", {})
+    assert best == "ab"[int(total.argmax())] and np.isclose(score, 1 / np.exp(total - total.max()).sum())
+
+
+def test_label_model_finds_accuracies():
+    """Voters of known accuracy, of which two copy each other: posteriors are right and the copies share their weight."""
+    from tidewatch.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    n, k = 20_000, len(toxicity.VOTERS)
+    y = rng.random(n) < 0.2
+    v = np.zeros((n, k), dtype=int)
+    for j, name in enumerate(toxicity.VOTERS):
+        if name in ("no_hit", "rare_hits"):
+            v[:, j] = np.where(rng.random(n) < np.where(y, 0.1, 0.8), -1, 0)
+        else:
+            v[:, j] = rng.random(n) < np.where(y, 0.6, 0.05)
+    v[:, 2] = v[:, 1]
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts, np.full(len(patterns), -1), 0.2)
+    assert ((model.posterior(v) > 0.5) == y).mean() > 0.95 and model.weight[1] < 0.75 * model.weight[3:9].mean()
+    assert abs(model.table[4, 1, 2] - 0.6) < 0.05 and abs(model.table[4, 0, 2] - 0.05) < 0.03
+
+
+def test_quality_solver_and_calibration(spark):
+    """The weights solve the ridge equations of all rows, and the calibration pools like brute force."""
+    from tidewatch.llm import quality_model
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, len(quality_model.STATISTICS)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(c) for c in row], int(t)) for i, (row, t) in enumerate(zip(x, y, strict=True))], "doc_id long, x array<double>, y int")
+    model = quality_model.train(df)
+    z = model.expand(x)
+    penalty = quality_model.RIDGE * len(x) * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9 * len(x)
+    assert np.allclose(model.beta, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    assert (np.diff(model.level) >= -1e-12).all() and np.mean((model.score(x) > 0.5) == y) > 0.85
+    at, level = quality_model.pool_adjacent(np.arange(4.0), np.array([0.1, 0.5, 0.3, 0.9]), np.array([1.0, 1.0, 3.0, 1.0]))
+    assert np.allclose(level, [0.1, 0.35, 0.35, 0.9])
+
+
+def test_groups_are_cut_only_at_splitters(spark):
+    rows = [(i, f"text {i // 7} " * 9) for i in range(7_000)]
+    placed = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"))
+    assert placed.where("n > 1").count() <= 7
+
+
+def test_many_ranges_keep_slots_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 20)
+    rows = [(i, f"text {i % 900}") for i in range(4_000)] + [(10_000 + i, "hot") for i in range(2_000)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    by: dict[int, list[int]] = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 6_000 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_unigram_model_against_the_library(spark, tmp_path):
+    """A unigram model written by hand: user-defined and unused pieces, byte fallback, scores that compete."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    add = lambda piece, score, kind: model.pieces.append(proto.ModelProto.SentencePiece(piece=piece, score=score, type=kind))
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(piece, 0.0, kind)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0.0, 6)
+    words = {"▁": -4.0, "▁the": -2.0, "▁cat": -3.1, "▁ca": -3.0, "t": -3.5, "s": -3.2, "at": -3.3, "▁s": -3.6, "a": -4.1, "c": -4.4, "e": -4.2, "h": -4.3, "▁t": -3.9, "he": -3.4, "ts": -3.7, "▁sat": -5.0, "é": -6.0}
+    for piece, score in words.items():
+        add(piece, score, 1)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id, model.trainer_spec.bos_id, model.trainer_spec.eos_id = 1, True, 0, 1, 2
+    model.trainer_spec.pad_id, model.trainer_spec.vocab_size = -1, len(model.pieces)
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path = f"{tmp_path}/unigram.model"
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    peer = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the cat sat", "cats", "the  cats at", "héé 日本 🙂", "", "x", "tttheecatsat hats", "a\nb\tc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = sentencepiece_codec.encode_documents(df, path)
+    got = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    assert [got[i] for i in range(len(texts))] == [peer.encode(t) for t in texts]
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode_documents(encoded, path).collect()}
+    assert [back[i] for i in range(len(texts))] == [peer.decode(peer.encode(t)) for t in texts]

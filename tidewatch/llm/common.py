@@ -45,10 +45,13 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, the session's checkpoint
+    folder; a new temporary one only for a local master, whose executors are in the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidewatch-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(named)

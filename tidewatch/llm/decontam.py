@@ -7,9 +7,9 @@ without one (checked in the tests, for each length).  Seeds of all document posi
 benchmark, and around each hit the aligned words are compared: a document is contaminated if in some window of
 WINDOW benchmark words (or of a shorter item's all words) at least MIN_SHARE stand at the aligned places.
 
-The document side is exploded and probed inside one generated stage; only hits leave it.  The benchmark side is
-broadcast if its seeds are at most MAX_BROADCAST_SEEDS (counted first), else both sides are shuffled by seed, and the
-hits find their texts by a second join.
+The document side is exploded and probed inside one generated stage; only hits leave it, grouped by document, item and
+shift before any words are compared, so a passage that is copied whole is verified once.  The benchmark side is
+broadcast if its seeds are at most MAX_BROADCAST_SEEDS (counted first), else both sides are shuffled by seed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, BLANKS, pick
+from .common import BLANK_RUN, BLANKS, pick, stored
 
 MASKS = ((0, 3, 4, 6, 7), (0, 2, 3, 4, 5), (0, 1, 2, 3, 7))
 SHORTEST = min(max(m) for m in MASKS) + 1
@@ -45,20 +45,23 @@ def _whole(words: str, at: Column, n: int) -> Column:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, row_hash, item_id, start (of the best window, in words of the document), matched, compared.
+    """doc_id, row_hash, item_id, item (hash of the item's id and text), start (of the best window, in words of the
+    document), matched, compared.
 
-    One row for each row of docs (told apart by doc_id and text) and benchmark item that overlap.  Items of fewer
-    words than SPAN are found where they stand word by word; items without words, and null texts, match nothing.
+    One row for each row of docs (told apart by doc_id and text) and benchmark row that overlap; benchmark rows are
+    told apart by id and text, so null and repeated ids have their own.  Items of fewer words than SPAN are found
+    where they stand word by word; items without words, and null texts, match nothing.
     """
-    items = pick(benchmark, "item_id", "text").select("item_id", word_hashes(F.col("text")).alias("iw")).where(F.size("iw") > 0)
-    items = items.withColumn("len", F.size("iw"))
+    items = pick(benchmark, "item_id", "text").select("item_id", F.xxhash64("item_id", F.lit(0), "text").alias("item"), word_hashes(F.col("text")).alias("iw"))
+    items = items.where(F.size("iw") > 0).dropDuplicates(["item"]).withColumn("len", F.size("iw"))
     whole = [r["len"] for r in items.where(F.col("len") < SPAN).select("len").distinct().collect()]  # at most SPAN - 1 numbers
     long = items.where(F.col("len") >= SPAN).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("len") - SHORTEST)))
-    seeds = long.select("item_id", "j", "len", F.posexplode(_seeds("iw", F.col("j"))).alias("m", "seed"))
-    seeds = seeds.where(F.col("j") + F.get(F.array(*[F.lit(max(m)) for m in MASKS]), F.col("m")) < F.col("len")).select("item_id", "j", "seed")
+    seeds = long.select("item", "j", "len", F.posexplode(_seeds("iw", F.col("j"))).alias("m", "seed"))
+    seeds = seeds.where(F.col("j") + F.get(F.array(*[F.lit(max(m)) for m in MASKS]), F.col("m")) < F.col("len")).select("item", "j", "seed")
     for n in whole:
-        seeds = seeds.union(items.where(F.col("len") == n).select("item_id", F.lit(0).alias("j"), _whole("iw", F.lit(0), n).alias("seed")))
-    small = seeds.count() <= max_broadcast
+        seeds = seeds.union(items.where(F.col("len") == n).select("item", F.lit(0).alias("j"), _whole("iw", F.lit(0), n).alias("seed")))
+    seeds = stored(seeds, "seeds")
+    few = seeds.count() <= max_broadcast
 
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("row_hash"), word_hashes(F.col("text")).alias("dw"))
     # no filter on the number of words here: Spark would push it below and hash every text twice
@@ -67,42 +70,47 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MA
     for n in whole:
         own = F.concat(own, F.when(F.col("i") + n <= F.size("dw"), F.array(_whole("dw", F.col("i"), n))).otherwise(F.array().cast("array<bigint>")))
     key = ["doc_id", "row_hash"]
-    if small:
-        hits = at.select(*key, "dw", "i", F.explode(own).alias("seed")).join(F.broadcast(seeds), "seed")
-        hits = hits.select(*key, "dw", "item_id", "j", (F.col("i") - F.col("j")).alias("shift")).join(F.broadcast(items), "item_id")
-    else:
-        hits = at.select(*key, "i", F.explode(own).alias("seed")).join(seeds, "seed")
-        hits = hits.select(*key, "item_id", "j", (F.col("i") - F.col("j")).alias("shift")).distinct()
-        texts = rows.dropDuplicates(key).select(F.col("doc_id").alias("t_id"), F.col("row_hash").alias("t_hash"), "dw")
-        hits = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_hash") == F.col("t_hash"))).join(items, "item_id")
-    return _verified(hits, key)
+    hits = at.select(*key, "i", F.explode(own).alias("seed")).join(F.broadcast(seeds) if few else seeds, "seed")
+    hits = hits.groupBy(*key, "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.min("j").alias("from"), F.max("j").alias("to"))
+    hits = stored(hits, "hits")
+    light = F.broadcast if few and hits.count() <= max_broadcast else lambda t: t
+    # the words of the documents with hits, hashed once more instead of carried through the exchange
+    hit = hits.select(F.col("doc_id").alias("h_id"), F.col("row_hash").alias("h_hash")).distinct()
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_hash"), "text")
+    texts = texts.join(light(hit), F.col("t_id").eqNullSafe(F.col("h_id")) & (F.col("t_hash") == F.col("h_hash")), "left_semi")
+    texts = texts.select("t_id", "t_hash", word_hashes(F.col("text")).alias("dw"))
+    both = texts.join(light(hits), F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_hash") == F.col("row_hash")))
+    return _verified(both.join(F.broadcast(items) if few else items, "item"), key)
 
 
 def _verified(hits: DataFrame, key: list[str]) -> DataFrame:
-    """The windows around each hit, compared word by word; the best of each document and item."""
+    """The windows around the hits of a shift, compared word by word; the best of each document and item."""
     hits = hits.withColumn("w", F.least("len", F.lit(WINDOW)))
-    first, last = F.greatest(F.lit(0), F.col("j") + F.least("len", F.lit(SHORTEST)) - F.col("w")), F.least(F.col("j"), F.col("len") - F.col("w"))
+    first = F.greatest(F.lit(0), F.col("from") + F.least("len", F.lit(SHORTEST)) - F.col("w"))
+    last = F.least(F.col("to"), F.col("len") - F.col("w"))
     same = lambda k: F.when(F.get("iw", k) == F.get("dw", k + F.col("shift")), 1).otherwise(0)
     score = lambda s: F.aggregate(F.sequence(s, s + F.col("w") - 1), F.lit(0), lambda a, k: a + same(k))
     # matched words in the upper half, the start (moved to be positive) in the lower: a long has a fast maximum
     best = F.array_max(F.transform(F.sequence(first, last), lambda s: F.shiftleft(score(s).cast("long"), 32) + (s + F.col("shift") + WINDOW).cast("long")))
-    found = hits.select(*key, "item_id", F.col("w").alias("compared"), best.alias("best")).groupBy(*key, "item_id", "compared").agg(F.max("best").alias("best"))
+    found = hits.select(*key, "item", "item_id", F.col("w").alias("compared"), best.alias("best")).groupBy(*key, "item", "compared").agg(F.max("best").alias("best"), F.first("item_id").alias("item_id"))
     found = found.withColumn("matched", F.shiftright("best", 32).cast("int")).where(F.col("matched") >= F.ceil(F.col("compared") * MIN_SHARE))
     start = F.col("best").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - WINDOW
-    return found.select(*key, "item_id", F.greatest(start, F.lit(0)).alias("start"), "matched", "compared")
+    return found.select(*key, "item_id", "item", F.greatest(start, F.lit(0)).alias("start"), "matched", "compared")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST_SEEDS) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (ascending), best_share (0 if none): one row for each row of docs.
+    """doc_id, contaminated, n_items, item_ids (ascending), best_share (0 if none), row_hash (of the text): one row for
+    each row of docs.
 
-    Null and empty texts are clean.  Repeated rows are treated alike.  With an empty benchmark all are clean.
+    n_items counts benchmark rows that differ in id or text; item_ids has their distinct ids, without null.  Null and
+    empty texts are clean.  Repeated rows are treated alike.  With an empty benchmark all are clean.
     """
     overlaps = find_overlaps(docs, benchmark, max_broadcast)
-    marks = overlaps.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("matched") / F.col("compared")).alias("best_share"))
-    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash"), "item_ids", "best_share")
+    marks = overlaps.groupBy("doc_id", "row_hash").agg(F.count_distinct("item").alias("n"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("matched") / F.col("compared")).alias("best_share"))
+    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash"), "n", "item_ids", "best_share")
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("row_hash"))
     both = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("row_hash") == F.col("m_hash")), "left")
     return both.select(
-        "doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"),
+        "doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("best_share", F.lit(0.0)).alias("best_share"), "row_hash",
     )

@@ -1,8 +1,9 @@
 """Language identification: known words by log frequency, unseen words by ever shorter character n-grams.
 
-The model is learned from a sample of labelled rows whose expected size is bounded by SAMPLE_ROWS, and holds at most
-WORDS_PER_LANGUAGE words and NGRAMS_PER_LANGUAGE n-grams a language, so what is broadcast does not grow with the
-corpus.  Texts are scored in Arrow batches; a worker keeps the scores of at most MEMO words.
+The model is learned from a sample of labelled rows whose expected size is bounded by SAMPLE_ROWS, shared out evenly
+among the languages so that rare ones keep theirs.  Words and n-grams are counted in Spark; each language keeps its
+WORDS_PER_LANGUAGE and, for each length, NGRAMS_PER_LANGUAGE most frequent ones, so what is broadcast grows with the
+number of languages only.  Texts are scored in Arrow batches; a worker keeps the scores of at most MEMO words.
 """
 
 from __future__ import annotations
@@ -13,19 +14,17 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, stored
 
 SAMPLE_ROWS = 10_000
-MAX_LANGUAGES = 200
 WORDS_PER_LANGUAGE = 20_000
-NGRAMS_PER_LANGUAGE = 20_000
+NGRAMS_PER_LANGUAGE = 5_000
 LONGEST = 4
-MIN_COUNT = 2
 MEMO = 100_000
-#: Smallest share that a word or n-gram seen in another language has in this one.
+#: Smallest share that a word or n-gram kept for another language has in this one.
 FLOOR = 1e-6
 #: A text's words count as at most so many independent ones when the score is made.
 EVIDENCE = 30.0
@@ -44,25 +43,17 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log shares by language of words and of n-grams of each length."""
-
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.languages = sorted(counts)
-        self.words = self._shares({k: Counter(c) for k, c in counts.items()}, WORDS_PER_LANGUAGE)
-        self.grams = {}
-        for n in range(1, LONGEST + 1):
-            by = {}
-            for k, c in counts.items():
-                by[k] = Counter()
-                for w, times in c.items():
-                    for g in _grams(w, n):
-                        by[k][g] += times
-            self.grams[n] = self._shares(by, NGRAMS_PER_LANGUAGE)
-
-    def _shares(self, by: dict[str, Counter], most: int) -> dict[str, tuple[float, ...]]:
-        total = {k: max(1, sum(c.values())) for k, c in by.items()}
-        known = {x for c in by.values() for x, _ in sorted(c.items(), key=lambda i: (-i[1], i[0]))[:most]}
-        return {x: tuple(math.log(max(FLOOR, by[k][x] / total[k])) for k in self.languages) for x in known}
+    """Log shares by language of words (length 0) and of n-grams of each length."""
+
+    def __init__(self, counts: dict[tuple[int, str], dict[str, int]], totals: dict[tuple[int, str], int]):
+        """counts: by length and language, how often each item was seen; totals: how often any was, kept or not."""
+        self.languages = sorted({k for _, k in totals})
+        shares = {n: self._shares({k: counts.get((n, k), {}) for k in self.languages}, {k: totals.get((n, k), 1) for k in self.languages}) for n in range(LONGEST + 1)}
+        self.words, self.grams = shares.pop(0), shares
+
+    def _shares(self, by: dict[str, dict[str, int]], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
+        known = {x for c in by.values() for x in c}
+        return {x: tuple(math.log(max(FLOOR, by[k].get(x, 0) / totals[k])) for k in self.languages) for x in known}
 
     def word(self, word: str) -> tuple[float, ...] | None:
         """The word's log shares; for an unseen word the mean of its longest known n-grams'; None if it has none."""
@@ -97,24 +88,35 @@ class Model:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """labelled: doc_id, text, lang.  Rows without text or language teach nothing.
+    """labelled: doc_id, text, lang.  Rows without doc_id, text or language teach nothing.
 
-    If there are more than sample_rows rows, each is taken with equal chance by a hash of its id.  At most
-    MAX_LANGUAGES languages are learned, the most frequent ones.
+    A language with more rows than its even part of sample_rows has each taken with equal chance by a hash of its id;
+    the others are taken whole.
     """
-    rows = pick(labelled, "doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    rows = pick(labelled, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy())) / F.col("n"))
+    sizes = sizes.withColumn("share", share)  # a row a language
+    rows = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     token = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != ""))
-    counted = rows.select("lang", token.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # at most the words of the sample; the rarest beyond the bound are left out before anything is collected
-    top = counted.where(F.col("n") >= (MIN_COUNT if n > 200 else 1)).orderBy(F.desc("n"), "lang", "word").limit(4 * WORDS_PER_LANGUAGE)
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    languages = sorted(counts, key=lambda k: (-sum(counts[k].values()), k))[:MAX_LANGUAGES]
-    return Model({k: counts[k] for k in languages})
+    words = stored(rows.select("lang", token.alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n")), "langid-words")
+
+    def grams(n: int) -> Column:
+        padded = F.concat(F.lit("<"), "item", F.lit(">")) if n > 1 else F.col("item")
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.struct(F.lit(n).alias("size"), F.substr(padded, i, F.lit(n)).alias("item"))), lambda g: F.length(g["item"]) == n)
+
+    pieces = F.concat(F.array(F.struct(F.lit(0).alias("size"), F.col("item").alias("item"))), *[grams(n) for n in range(1, LONGEST + 1)])
+    counted = words.select("lang", "n", F.inline(pieces)).toDF("lang", "times", "size", "item").groupBy("lang", "size", "item").agg(F.sum("times").alias("n"))
+    best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
+    ranked = counted.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "size"))).withColumn("place", F.row_number().over(best))
+    kept = ranked.where(F.col("place") <= F.when(F.col("size") == 0, WORDS_PER_LANGUAGE).otherwise(NGRAMS_PER_LANGUAGE))
+    counts: dict[tuple[int, str], dict[str, int]] = defaultdict(dict)
+    totals: dict[tuple[int, str], int] = {}
+    for r in kept.collect():  # at most WORDS_PER_LANGUAGE + LONGEST * NGRAMS_PER_LANGUAGE rows a language
+        counts[r["size"], r["lang"]][r["item"]] = r["n"]
+        totals[r["size"], r["lang"]] = r["total"]
+    return Model(counts, totals)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

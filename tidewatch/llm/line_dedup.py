@@ -2,7 +2,8 @@
 
 Plan: one pass explodes the normalised lines of at least ``min_chars`` code points to (row, position, 128-bit hash)
 rows, without their texts, and writes them to the shared folder.  A grouped distinct count with partial aggregation
-finds the hashes over the threshold; a join that Spark can split at hot keys marks the positions to drop; those
+finds the hashes over the threshold, which are written too, so that nothing but the exchanges stands before the join
+that marks the positions to drop: Spark splits it at hot lines, or broadcasts the hashes where they are few.  Marks
 return to the documents, which move through one exchange, and a slice per gap reassembles the text.
 """
 
@@ -31,6 +32,7 @@ def _dropped(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    common = stored(common, "common-lines")
     return (
         lines.join(common, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
@@ -50,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     rows = pick(docs, "doc_id", "text", *carry).withColumn("row_hash", F.xxhash64("text"))
     marks = _dropped(rows, min_chars, min_docs)
-    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash"), "dropped").hint("shuffle_hash")
+    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash"), "dropped")
     both = rows.join(marks, (rows.doc_id == F.col("m_id")) & (rows.row_hash == F.col("m_hash")), "left")
     both = both.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn("gone", F.coalesce("dropped", F.array().cast("array<int>")))
     after = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("gone", k - 1) + 1)  # noqa: E731  the first line of gap k

@@ -2,8 +2,8 @@
 
 The statistics are SQL functions over whole texts, written once as a narrow table.  cos(xW + b) approximates a
 Gaussian kernel; each partition sums its part of the normal equations, partial sums are added in a tree, and the
-driver solves one system of FEATURES + 1 unknowns.  The calibration is fitted on rows that the regression has not
-seen, from their sums in BINS bins of the raw score.
+driver solves one system of FEATURES + 1 unknowns.  The calibration is fitted on cross-fitted scores: each half of the
+labelled rows is scored by the regression of the other half, and summed in BINS bins of the raw score.
 """
 
 from __future__ import annotations
@@ -88,39 +88,44 @@ def _matrix(b: pa.RecordBatch, name: str = "x") -> np.ndarray:
 
 
 def train(rows: DataFrame) -> Model:
-    """rows: doc_id, x, y (0 or 1).  Rows of fold 1 calibrate (all rows where a fold or a class is missing there)."""
+    """rows: doc_id, x, y (0 or 1).  The regression is fitted on all rows, the calibration on the scores that each half
+    of them, by a hash of the doc_id, gets from the regression of the other half."""
     d = len(STATISTICS)
     aggregates = [f(F.get("x", F.lit(i))).alias(f"{k}{i}") for i in range(d) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
     sums = rows.agg(*aggregates, F.count("*").alias("n")).first()
     if not sums["n"]:
         return Model(np.zeros(d), np.ones(d))
     model = Model(np.array([sums[f"m{i}"] for i in range(d)]), np.array([sums[f"s{i}"] for i in range(d)]))
-    held = crc_fold(F.col("doc_id"), FOLDS) == 1
-    split = {r["held"]: (r["n"], r["y"]) for r in rows.groupBy(held.alias("held")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()}
-    enough = all(k in split and 0 < split[k][1] < split[k][0] for k in (True, False)) and split[True][0] >= 100
-    fit_rows, calibration = (rows.where(~held), rows.where(held)) if enough else (rows, rows)
+    rows = rows.select("x", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total = np.zeros((2, FEATURES + 1, FEATURES + 2))
         for b in batches:
-            z = model.expand(_matrix(b))
-            total[:, :-1] += z.T @ z
-            total[:, -1] += z.T @ b.column("y").to_numpy(zero_copy_only=False)
+            z, y, half = model.expand(_matrix(b)), b.column("y").to_numpy(zero_copy_only=False), b.column("half").to_numpy(zero_copy_only=False)
+            for h in (0, 1):
+                total[h, :, :-1] += z[half == h].T @ z[half == h]
+                total[h, :, -1] += z[half == h].T @ y[half == h]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = fit_rows.select("x", F.col("y").cast("double").alias("y")).mapInArrow(partial, "part binary").rdd.map(lambda r: np.frombuffer(r["part"]).copy())
-    total = parts.treeReduce(lambda a, b: a + b, depth=3).reshape(FEATURES + 1, FEATURES + 2)
-    n = total[-1, -2]
-    penalty = RIDGE * n * np.eye(FEATURES + 1)
-    penalty[-1, -1] = 1e-9 * n
-    model.beta = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
+    parts = rows.mapInArrow(partial, "part binary").rdd.map(lambda r: np.frombuffer(r["part"]).copy())
+    total = parts.treeReduce(lambda a, b: a + b, depth=3).reshape(2, FEATURES + 1, FEATURES + 2)
+
+    def solved(t: np.ndarray) -> np.ndarray:
+        n = max(1.0, t[-1, -2])  # an empty half has weights of 0
+        penalty = RIDGE * n * np.eye(FEATURES + 1)
+        penalty[-1, -1] = 1e-9 * n
+        return np.linalg.solve(t[:, :-1] + penalty, t[:, -1])
+
+    model.beta = solved(total.sum(axis=0))
+    other = np.stack([solved(total[1]), solved(total[0])])  # by half, the weights of the other
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = np.floor((model.raw(_matrix(b)) + 0.5) / 2.0 * (BINS - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("y")], ["bin", "y"])
+            half = b.column("half").to_numpy(zero_copy_only=False)
+            scores = np.clip((model.expand(_matrix(b)) * other[half]).sum(axis=1), -0.5, 1.5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor((scores + 0.5) / 2.0 * (BINS - 1)).astype(np.int32)), b.column("y")], ["bin", "y"])
 
-    binned = calibration.select("x", F.col("y").cast("double").alias("y")).mapInArrow(raw, "bin int, y double")
+    binned = rows.mapInArrow(raw, "bin int, y double")
     found = sorted((r["bin"], r["y"], r["n"]) for r in binned.groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect())
     at = (np.array([b for b, _, _ in found]) + 0.5) / (BINS - 1) * 2.0 - 0.5
     n = np.array([n for _, _, n in found], dtype=float)

@@ -2,9 +2,9 @@
 
 The method's verdict compares two histograms of a text, its character classes and its common words, to references
 of its language by the Jensen-Shannon distance (base 2, 0 to 1).  The references are sums over all texts of that
-language which pass the base rules and are near a first reference made without that condition.  All of it is built from SQL functions: one pass counts, writes a narrow table
-without texts to the shared folder, a grouped sum makes one reference row a language, and a broadcast join of those
-few rows (their number is fixed by LANGUAGES) gives the distances.
+language which pass the base rules and are near a first reference made without that condition.  All of it is built from SQL
+functions: one pass counts, writes a narrow table without texts to the shared folder, a grouped sum makes one reference
+row a language, and a join to those rows (broadcast up to MAX_REFERENCES) gives the distances.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .common import BLANKS, ascii_lower, pick, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Languages with a reference of their own; any other, and null, share one.
+#: Languages with common words of their own; others are counted by the common words of all.
 LANGUAGES = ("en", "fr", "de", "es")
 COMMON_WORDS = {
     "en": "the of and to in a is that it for on with as be by this are was at from or an not he they".split(),
@@ -31,6 +31,7 @@ CLASSES = ("lower", "upper", "digit", "blank", "symbol", "other")
 #: Distances above these reject; texts shorter than the guards are not judged by that distance.
 MAX_CLASS_DISTANCE, MIN_CLASS_CHARS = 0.165, 200
 MAX_WORD_DISTANCE, MIN_HISTOGRAM_WORDS = 0.33, 100
+MAX_REFERENCES = 10_000
 _LOW = 21  # bits for a window's position
 
 
@@ -109,12 +110,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance, kept.
 
-    Null and empty texts have no words and fail the base rules.  A text whose language is null or unknown is held
-    against the reference of all such texts; a language without any text that passes the base rules has no
+    Null and empty texts have no words and fail the base rules.  Each value of lang has a reference, and so have all
+    texts whose lang is null; a language without any text that passes the base rules has no
     reference, and nothing is rejected for distance there.  A distance is null where a guard or a missing reference
     leaves it out.  Repeated rows are judged each for itself; an empty table gives no rows.
     """
-    counted = stored(base_counts(docs).withColumn("lang", F.when(F.col("lang").isin(*LANGUAGES), F.col("lang")).otherwise(F.lit("*"))), "quality-counts")
+    counted = stored(base_counts(docs).withColumn("lang", F.coalesce("lang", F.lit("*"))), "quality-counts")
     first = _judged(counted, _references(counted.where(~F.col("base_failed"))))
     judged = _judged(counted, _references(first.where("kept")))
     return judged.drop("lang", "classes", "common")
@@ -129,7 +130,8 @@ def _references(counted: DataFrame) -> DataFrame:
 
 
 def _judged(counted: DataFrame, refs: DataFrame) -> DataFrame:
-    both = counted.join(F.broadcast(refs), "lang", "left")  # a row for each of LANGUAGES and one more at most
+    refs = stored(refs, "quality-references")
+    both = counted.join(F.broadcast(refs) if refs.count() <= MAX_REFERENCES else refs, "lang", "left")
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     distance = lambda c: js_distance(F.transform(c, lambda x: x.cast("double")), F.slice(f"{c}_ref", F.lit(1), F.size(c)))
     judged = both.select(

@@ -98,7 +98,12 @@ class Codec:
         unk = m.pieces[m.unk_id][0]
         usable = [(p, s) for p, s, kind in m.pieces if kind in (NORMAL, USER_DEFINED)]
         if m.model_type == 1:
-            model = models.Unigram([(p, s if kind in (NORMAL, USER_DEFINED, UNKNOWN) else -1e9) for p, s, kind in m.pieces], m.unk_id, m.byte_fallback)
+            # other kinds are never found in a text, whatever they are called, and the worst score sets that of unknowns;
+            # bytes take the place of unknown characters afterwards
+            low = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+            hidden = [(p, s) if kind in (NORMAL, USER_DEFINED) else (f"\uffff{i}\uffff", low) for i, (p, s, kind) in enumerate(m.pieces)]
+            model = models.Unigram(hidden, m.unk_id, False)
+            named = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
         else:
             real, merges = {p for p, _ in usable}, []
             for p, s in usable:
@@ -115,12 +120,14 @@ class Codec:
         # no piece has a marker after another character: then nothing merges across the start of a run of markers
         self.apart = m.escape and m.model_type == 2 and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in usable)
         self.full, self.bare, self.single = Tokenizer(model), Tokenizer(model), Tokenizer(model)
+        self.back = Tokenizer(named) if m.model_type == 1 else self.full
+        self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE} if m.model_type == 1 and m.byte_fallback else {}
         if steps:
             self.full.normalizer = normalizers.Sequence(steps)
         undo = [decoders.Replace(MARK, " ")] if m.escape else []
         undo += [*([decoders.ByteFallback()] if m.byte_fallback else []), decoders.Fuse()]
         undo += [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
-        for t in (self.full, self.bare, self.single):
+        for t in (self.full, self.bare, self.single, self.back):
             if self.apart and t is not self.single:
                 t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
             t.decoder = decoders.Sequence(undo)
@@ -180,10 +187,17 @@ class Codec:
                 kinds["single" if self._single(t) else "full"].append(i)
         for kind, at in kinds.items():
             tokenizer = self.single if kind == "single" else self.full
-            for i, e in zip(at, tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, np.int32)
+            encode = tokenizer.encode_batch if self.bytes else tokenizer.encode_batch_fast  # the fast one does not say what an unknown was
+            for i, e in zip(at, encode([texts[i] for i in at], add_special_tokens=False), strict=True):
+                out[i] = np.array(self._with_bytes(e), np.int32)
         return out
 
+    def _with_bytes(self, e) -> list[int]:
+        """The ids of an encoding, with bytes for unknown characters where the unigram model has them."""
+        if not self.bytes or self.file.unk_id not in e.ids:
+            return e.ids
+        return [x for i, t in zip(e.ids, e.tokens, strict=True) for x in ([self.bytes[c] for c in t.encode("utf-8", "surrogatepass")] if i == self.file.unk_id else (i,))]
+
     def restores(self, ids: np.ndarray, text: str) -> bool:
         """Whether the pieces of the ids spell the text; the same as decoding, from the table of pieces."""
         spelled = b"".join(map(self.spelling.__getitem__, ids.tolist()))
@@ -193,7 +207,7 @@ class Codec:
         return [x.tolist() for x in self.encode_batch(texts)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.full.decode_batch(ids, skip_special_tokens=False)
+        return self.back.decode_batch(ids, skip_special_tokens=False)
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:

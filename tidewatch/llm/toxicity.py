@@ -25,8 +25,6 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Expected labelled rows that lexicons are induced from, and rows that the classifier is fitted on.
 LABELLED_ROWS, CLASSIFIER_ROWS = 20_000, 20_000
-MAX_INDUCED = 2_000
-MIN_TOXIC_DOCS = 3
 #: Least likelihood ratio statistic (one degree of freedom) of an induced word or beginning.
 MIN_GAIN = 20.0
 #: The fold of labelled rows that anchors the label model; lexicons come from the other folds.
@@ -92,7 +90,8 @@ def induce(docs: DataFrame, labelled: DataFrame, sample_rows: int = LABELLED_ROW
     If there are more labels than sample_rows, each is taken with equal chance by a hash of its id; the few that are
     left are broadcast, so texts do not move.
 
-    What comes to the driver is the MAX_INDUCED words and as many beginnings that tell most.
+    What comes to the driver are the words and beginnings that pass MIN_GAIN; as each needs several labelled rows, the
+    sample bounds their number.
     """
     by_class = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
@@ -113,9 +112,9 @@ def induce(docs: DataFrame, labelled: DataFrame, sample_rows: int = LABELLED_ROW
         share, both = toxic / (toxic + clean), F.col("t") + F.col("c")
         part = lambda n, p: F.when(n > 0, 2 * n * F.log(n / (both * p))).otherwise(F.lit(0.0))
         gain = part(F.col("t"), share) + part(F.col("c"), 1 - share)  # the likelihood ratio of word and label
-        kept = counted.where(F.col("t") >= MIN_TOXIC_DOCS).withColumn("odds", odds).withColumn("gain", gain)
+        kept = counted.where("t > 0").withColumn("odds", odds).withColumn("gain", gain)
         kept = kept.where((F.col("odds") >= least) & (F.col("gain") >= MIN_GAIN))
-        return {r["item"]: r["odds"] for r in kept.orderBy(F.desc("gain"), "item").limit(MAX_INDUCED).select("item", "odds").collect()}
+        return {r["item"]: r["odds"] for r in kept.select("item", "odds").collect()}
 
     return Lexicon(telling("words", 2.0), telling("begins", 1.6)), toxic / (toxic + clean)
 
@@ -209,14 +208,14 @@ def _hits(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 continue
             hits = np.array([shared.value.hits(t.as_py()) for t in b.column("text")])
             pattern = ["".join("-01"[v + 1] for v in row) for row in votes(hits).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(hits), pa.list_(pa.float64())), pa.array(pattern, pa.string())], ["doc_id", "hits", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_hash"), pa.array(list(hits), pa.list_(pa.float64())), pa.array(pattern, pa.string())], ["doc_id", "row_hash", "hits", "pattern"])
 
-    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, hits array<double>, pattern string")
+    rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, row_hash long, hits array<double>, pattern string")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[Classifier, DataFrame]:
-    """The classifier, and doc_id, hits for all docs (a stored table)."""
+    """The classifier, and doc_id, row_hash, hits for all docs (a stored table)."""
     fold = crc_fold(F.col("doc_id"), folds)
     known = pick(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & (fold != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -238,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[Class
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from THRESHOLD on).
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 from THRESHOLD on), row_hash (of the text).
 
     labels: doc_id, toxic.  Labels of rows in fold 0 are not looked at; a doc_id with several labels counts as toxic
     if any is; null labels and ids are left out.  Null and empty texts have no hits and get the score of such texts.
@@ -246,11 +245,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Da
     """
     scored = score_hits(*train(docs, labels, folds))
     held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "row_hash")
 
 
 def score_hits(classifier: Classifier, seen: DataFrame) -> DataFrame:
-    """doc_id, score of a table of hits."""
+    """doc_id, score, row_hash of a table of hits."""
     shared = seen.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +258,6 @@ def score_hits(classifier: Classifier, seen: DataFrame) -> DataFrame:
                 continue
             column = b.column("hits")
             hits = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score_hits(hits), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score_hits(hits), pa.float64()), b.column("row_hash")], ["doc_id", "score", "row_hash"])
 
-    return seen.select("doc_id", "hits").mapInArrow(run, "doc_id long, score double")
+    return seen.select("doc_id", "row_hash", "hits").mapInArrow(run, "doc_id long, score double, row_hash long")
