@@ -15,9 +15,11 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,21 +212,23 @@ class Codec:
         return self.back.decode_batch(ids, skip_special_tokens=False)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+    for i, n in enumerate(lengths):
+        if size and size + (n or 0) > CHUNK:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n or 0
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
-def _codec(shared, threads: int) -> Codec:
+@lru_cache(1)
+def _codec(data: bytes, threads: int) -> Codec:
+    """One for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ["RAYON_NUM_THREADS"] = str(threads)
-    return Codec(shared.value, verify=False)
+    return Codec(data, verify=False)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, threads: int = THREADS, parity_rows: int = PARITY_ROWS) -> DataFrame:
@@ -236,11 +240,11 @@ def encode_documents(docs: DataFrame, path: str = MODEL, threads: int = THREADS,
     shared = docs.sparkSession.sparkContext.broadcast(Codec.load(path).data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, left = _codec(shared, threads), parity_rows
+        codec, left = _codec(shared.value, threads), parity_rows
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for start, end in _chunks(texts):
-                part = texts[start:end]
+            column = b.column("text")
+            for start, end in _chunks(pc.utf8_length(column).to_pylist()):
+                part = [t or "" for t in column.slice(start, end - start).to_pylist()]
                 ids = codec.encode_batch(part)
                 whole = [codec.restores(x, t) for x, t in zip(ids, part, strict=True)]
                 if left > 0:
@@ -262,7 +266,7 @@ def decode_documents(encoded: DataFrame, path: str = MODEL, threads: int = THREA
     shared = encoded.sparkSession.sparkContext.broadcast(Codec.load(path).data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, threads)
+        codec = _codec(shared.value, threads)
         for b in batches:
             ids = b.column("ids").to_pylist()
             text = codec.decode([[i for i in x or [] if i is not None] for x in ids])
