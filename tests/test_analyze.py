@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.plans.analyze import analyze
+from tidewatch import fixtures
+from tidewatch.operators import models
+from tidewatch.plans.analyze import analyze, model_stage, ranked_urls
 
 RECORDS = [
     ("threat", {"content": "Your bank account will be suspended within 24 hours. Verify your identity and click here to confirm your details."}),
@@ -53,3 +55,46 @@ def test_explanations(found):
     e = found["page"]["explanation"]
     assert e["reasons"][0]["severity"] == "critical" and 1 <= len(e["advice"]) <= 6
     assert len(found["plain"]["explanation"]["advice"]) == 2
+
+
+def test_prefilter_never_hides_a_match():
+    import re
+
+    from tidewatch.functions import knowledge as K
+    from tidewatch.functions import rx
+
+    samples = ["Your ACCOUNT will be Suspended within 24 hours unless you verify", "congratulations you have won a lucky draw prize", "pay the registration fee now", "call support helpline", "are you at your desk", *fixtures.TEXTS]
+    for *_, patterns in K.TACTICS:
+        for p in patterns:
+            for t in samples:
+                if re.search(p, t, re.I | re.A):
+                    assert all(any(n in t.lower() for n in group) for group in rx.needles(p))
+
+
+def test_model_stage_takes_the_greater_probability(spark, tmp_path):
+    rows = [(i, f"pay the fee now at http://evil{i}.top/login" if i % 2 else f"lunch on monday with team {i} at https://example.org/menu", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string, label int")
+    model = models.train_message_model(df, "id", "content", "label")
+    model.save(f"{tmp_path}/m")
+    loaded = models.MessageModel.load(spark, f"{tmp_path}/m")
+    links = spark.createDataFrame([(f"http://evil{i}.top/login" if i % 2 else f"https://example.org/m{i}", i % 2) for i in range(40)], "url string, label int")
+    step = model_stage("id", loaded, models.train_url_model(links, "url", "label"))
+    some = df.where("id < 4").select("id", "content").union(spark.createDataFrame([(90, " ")], "id long, content string"))
+    got = {r["id"]: r for r in analyze(some, enrich=step).select("id", "ml", "score", F.transform("signals", lambda s: s["id"]).alias("ids"), F.col("url_results")).collect()}
+    assert not got[90]["ml"]["used"] and got[90]["ml"]["probability"] is None
+    for i in range(4):
+        ml = got[i]["ml"]
+        assert ml["models"] == ["message", "url"] and ml["probability"] == max(ml["message"], ml["url"]) and any(x.startswith("ml-message-") for x in got[i]["ids"])
+    assert got[1]["ml"]["probability"] > 0.6 > got[0]["ml"]["probability"]
+    again = {r["id"]: r["probability"] for r in models.predict_messages(df, loaded, "id", "content").collect()}
+    assert again == {r["id"]: r["probability"] for r in models.predict_messages(df, model, "id", "content").collect()}
+
+
+def test_links_are_ranked_by_points(spark):
+    df = analyze(spark.createDataFrame([("see https://example.org/a and http://paypal-secure-login.tk/verify and https://example.org/b",)], "content string"))
+    assert df.select(ranked_urls(F.col("url_results"))).first()[0][0] == "http://paypal-secure-login.tk/verify"
+
+
+def test_repeated_grams_count(spark):
+    got = spark.sql("SELECT 'banana' AS n").select(models.terms(F.col("n"))).first()[0]
+    assert got.count("c:ana") == 2 and got.count("c: ba") == 1 and "c:a " not in got

@@ -106,3 +106,49 @@ def test_streamed_reputation(spark, tmp_path):
     stream = spark.readStream.schema("reported_at timestamp, domains array<string>").parquet(f"{tmp_path}/in")
     got = {r["domain"]: r["reports"] for r in _run(live.live_reputation(stream), "reputation", "complete").collect()}
     assert got == {"x.org": 4, "y.org": 3}
+
+
+def test_rate_limits_start_with_the_first_request(spark):
+    times = [0, 10, 59, 60, 61, 200, 259, 260]
+    rows = [(i, k, at(t)) for k in ("a", None) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "i int, k string, t timestamp")
+    got = history.rate_limits(df, "k", "t", "i", window_s=60, most=2)
+    for k in ("a", None):
+        own = got.where(F.col("k").eqNullSafe(F.lit(k))).orderBy("i").collect()
+        assert [(r["n"], r["remaining"], r["limited"]) for r in own] == [(1, 1, False), (2, 0, False), (3, 0, True), (1, 1, False), (2, 0, False), (1, 1, False), (2, 0, False), (1, 1, False)]
+    assert history.rate_limits(df.limit(0), "k", "t", "i").collect() == []
+
+
+def test_circuit_cools_down(spark):
+    calls = [(0, True), (1, True), (2, True), (3, True), (32, False), (33, True), (34, False), (40, True), (41, True), (42, True), (72, True), (73, True)]
+    df = spark.createDataFrame([(i, "ml", at(t), bad) for i, (t, bad) in enumerate(calls)], "i int, service string, t timestamp, failed boolean")
+    got = history.circuit(df, "service", "t", "failed", "i").orderBy("i").collect()
+    assert [(r["failures"], r["refused"]) for r in got] == [(1, False), (2, False), (3, False), (3, True), (3, True), (1, False), (0, False), (1, False), (2, False), (3, False), (3, True), (1, False)]
+
+
+def test_percentiles_take_the_element_at_the_index(spark):
+    df = spark.createDataFrame([(i,) for i in range(1, 121)], "ms long")
+    found = evaluate.latency(df, "ms").first()
+    assert (found["median"], found["p95"], found["max"]) == (61, 115, 120)
+    assert evaluate.latency(spark.createDataFrame([(7,), (None,)], "ms long"), "ms").first()["p95"] == 7
+
+
+def test_ranking_metrics_against_brute_force(spark):
+    rows = [(i * 7 % 10 // 6, round(i * 37 % 101 / 50, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    good, bad = [s for y, s in rows if y], [s for y, s in rows if not y]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert abs(evaluate.roc_auc(df, "y", "s").first()["auc"] - auc) < 1e-4
+    precision, before = 0.0, 0
+    for t in sorted({s for _, s in rows}, reverse=True):
+        tp, n = sum(y for y, s in rows if s >= t), sum(s >= t for _, s in rows)
+        precision, before = precision + (tp - before) / len(good) * tp / n, tp
+    assert abs(evaluate.average_precision(df, "y", "s").first()["average_precision"] - precision) < 1e-4
+    assert evaluate.average_precision(df.limit(0), "y", "s").first()["average_precision"] is None
+
+
+def test_split_and_cross_validation(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(2000)], "k long, y int")
+    held = evaluate.stratified_split(df, "y", "k").where("held_out").groupBy("y").count().collect()
+    assert all(150 < r["count"] < 250 for r in held)
+    assert evaluate.cross_validated(df, "y", "k", lambda train: lambda test: test.withColumn("predicted", F.col("k") % 2)).first()["f1_mean"] == 1.0

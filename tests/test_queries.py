@@ -1,4 +1,4 @@
-"""Queries against their SQL on the smallest tables."""
+"""Queries against their SQL on the small tables."""
 
 import duckdb
 import pandas as pd
@@ -10,8 +10,7 @@ from tidewatch.queries import QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def sql(sf_dir):
+def connected(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
@@ -30,8 +29,9 @@ def rows(df: pd.DataFrame) -> list:
 
 
 @pytest.mark.parametrize("name", ORACLE_SQL)
-def test_against_sql(spark, sql, sf_dir, name):
-    want, got = sql.sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, sf_dir).toPandas()
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_against_sql(spark, sf_dir, name):
+    want, got = connected(sf_dir).sql(ORACLE_SQL[name]).df(), QUERIES[name](spark, sf_dir).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     assert rows(want) == rows(got)
 

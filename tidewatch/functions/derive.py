@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 from . import knowledge as K
-from .text import _look_alikes
+from .text import _compatible, _look_alikes
 
 
 def canonical(text: str) -> str:
@@ -29,6 +29,16 @@ def label(domain: str) -> str:
     return rd.removesuffix(f".{suffix}")
 
 
+def look_alikes() -> tuple[str, str]:
+    """Look-alike letters of both cases and what they look like, place by place."""
+    return _look_alikes()
+
+
+def folding() -> tuple[str, str]:
+    """Characters whose compatibility form is one other character, and those forms."""
+    return _compatible()
+
+
 @lru_cache(1)
 def brand_labels() -> tuple[tuple[str, str, str, int], ...]:
     """(brand, domain, canonical label, edits allowed), for labels of four letters and more, in order."""

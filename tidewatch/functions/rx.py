@@ -6,6 +6,10 @@ its $ also matches before a final line feed; both are rewritten here, never by h
 
 from __future__ import annotations
 
+from functools import lru_cache
+from re import _parser as parser
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +40,36 @@ def java(pattern: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+def _groups(parsed: Any) -> list[list[str]]:
+    """Groups of lower-case texts; every match of a parsed pattern holds one at least of each group."""
+    found: list[list[str]] = []
+    run = ""
+    for op, value in [*parsed, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(value).lower()
+            continue
+        if len(run) >= 2:
+            found.append([run])
+        run = ""
+        if op is parser.SUBPATTERN:
+            found += _groups(value[-1])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] >= 1:
+            found += _groups(value[2])
+        elif op is parser.BRANCH:
+            parts = [_groups(b) for b in value[1]]
+            if all(parts):
+                # of each branch the group whose shortest text is longest: it rules out most
+                found.append([x for p in parts for x in max(p, key=lambda g: (min(4, min(map(len, g))), -len(g)))])
+    return found
+
+
+@lru_cache(None)
+def needles(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Groups of lower-case texts of which every match, in any case, holds one at least of each group."""
+    groups = [dict.fromkeys(g) for g in _groups(parser.parse(pattern))]
+    return tuple(dict.fromkeys(tuple(x for x in g if not any(y != x and y in x for y in g)) for g in groups))
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(java(pattern, ignore_case))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_CONSTANTS: dict[tuple[int, str], Column] = {}
+
+
+def constant(sql: str) -> Column:
+    """An expression without columns, parsed once a JVM: long lists cost a call for each item otherwise."""
+    key = (id(SparkContext._gateway), sql)
+    if key not in _CONSTANTS:
+        _CONSTANTS[key] = F.expr(sql)
+    return _CONSTANTS[key]
+
+
+def quoted(s: str) -> str:
+    """A string as Spark SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """An array of fixed strings."""
+    return constant(f"array({', '.join(map(quoted, values))})")
+
+
+def among(c: Column, values: Iterable[str]) -> Column:
+    """Whether c is one of the fixed strings; null for null."""
+    return F.array_contains(strings(values), c)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

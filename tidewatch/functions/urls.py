@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import knowledge as K
-from .text import let, text_or_empty
+from .text import among, let, strings, text_or_empty
 
 _IPV4 = r"^(?:\d{1,3}\.){3}\d{1,3}\z"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d|0\d\d?)"
@@ -36,7 +36,7 @@ def _registrable(h: Column) -> Column:
 def _joined(h: Column, labels: Column) -> Column:
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")
-    return F.when((h == "") | is_ipv4(h) | is_ipv6(h), h).when(F.size(labels) <= 2, F.array_join(labels, ".")).when(two.isin(*K.MULTI_PART_SUFFIXES), three).otherwise(two)
+    return F.when((h == "") | is_ipv4(h) | is_ipv6(h), h).when(F.size(labels) <= 2, F.array_join(labels, ".")).when(among(two, K.MULTI_PART_SUFFIXES), three).otherwise(two)
 
 
 def registrable_domain(host: Column) -> Column:
@@ -52,7 +52,7 @@ def subdomain(host: Column) -> Column:
 def _suffix(rd: Column) -> Column:
     labels = F.split(rd, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-    return F.when((F.size(labels) >= 3) & two.isin(*K.MULTI_PART_SUFFIXES), two).otherwise(F.element_at(labels, -1))
+    return F.when((F.size(labels) >= 3) & among(two, K.MULTI_PART_SUFFIXES), two).otherwise(F.element_at(labels, -1))
 
 
 def top_level(host: Column) -> Column:
@@ -134,5 +134,5 @@ def in_private_range(host: Column) -> Column:
 
 def free_hosting(host: Column) -> Column:
     """The first platform in list order that the host is, or lies under; null if none."""
-    own = F.array(*map(F.lit, K.FREE_HOSTING_HOSTS))
+    own = strings(K.FREE_HOSTING_HOSTS)
     return F.get(F.filter(own, lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h))), F.lit(0))

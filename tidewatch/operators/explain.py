@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import knowledge as K
-from ..functions.text import shortened
+from ..functions.text import shortened, strings
 
 #: What to do, by category; own wording.
 ADVICE = {
@@ -45,7 +45,7 @@ def _lines(table: dict[str, tuple[str, ...]], key: str) -> Column:
 def chosen_categories(categories: Column) -> Column:
     """The categories that give advice, in the order of advice, until five lines are there (two lines each)."""
     fired = F.transform(categories, lambda c: c["category"])
-    return F.slice(F.filter(F.array(*map(F.lit, K.ADVICE_ORDER)), lambda k: F.array_contains(fired, k)), 1, 3)
+    return F.slice(F.filter(strings(K.ADVICE_ORDER), lambda k: F.array_contains(fired, k)), 1, 3)
 
 
 def explanation() -> Column:

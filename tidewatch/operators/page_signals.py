@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, html, rx, text, urls
 from ..functions import knowledge as K
+from ..functions.text import among
 from .signals import gathered, no_signals, signal
 
 _LOGIN = r"\b(sign in|log ?in|login|username|password|continue to your account|account login|net ?banking|internet banking|user id)\b"
@@ -50,13 +51,13 @@ def page_signals(df: DataFrame, page: str, url: str, out: str = "page_signals")
         brands.append(F.when((in_title | (mentions >= 2)) & ~own, F.struct(F.lit(name).alias("brand"), in_title.alias("in_title"))))
     df = df.withColumn("_fake", F.get(gathered(*brands), F.lit(0)))
     login, rd, host, https = F.col("_login"), F.col("_rd"), F.col("_host"), F.coalesce(F.col("_p")["scheme"] == "https", F.lit(False))
-    official, trusted = rd.isin(*K.OFFICIAL_DOMAINS), rd.isin(*K.TRUSTED_DOMAINS)
+    official, trusted = among(rd, K.OFFICIAL_DOMAINS), among(rd, K.TRUSTED_DOMAINS)
     body, js, forms, fake, size = F.col("_text"), F.col("_inline"), F.col("_forms3"), F.col("_fake"), F.length("_html")
     has_js = js.rlike("(?s)[^\\n]")
     some = lambda test: F.exists(forms, test)
     dead = F.size(F.filter("_anchors", lambda a: a["raw"].rlike(r"^#\z|^javascript:void")))
     hidden_name = F.filter(F.flatten(F.transform("_forms", lambda f: f["inputs"])), lambda i: (i["type"] == "hidden") & i["name"].rlike("email|mail|user|id|target|victim|bot|chat"))
-    brand_asset = F.get(F.filter("_assets", lambda a: (a != rd) & a.isin(*K.OFFICIAL_DOMAINS)), F.lit(0))
+    brand_asset = F.get(F.filter("_assets", lambda a: (a != rd) & among(a, K.OFFICIAL_DOMAINS)), F.lit(0))
     fields = F.array_distinct(F.filter(F.transform(F.filter("_inputs", _sensitive), lambda i: F.when(i["name"] != "", i["name"]).otherwise(i["type"])), lambda x: x != ""))
     calls = rx.count(js, r"\b(eval|Function\s*\(|atob|unescape|decodeURIComponent\s*\(\s*escape)\b", ignore_case=False)
     found = gathered(

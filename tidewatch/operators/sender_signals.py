@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, mail, rx, text, urls
 from ..functions import knowledge as K
+from ..functions.text import among
 from .signals import gathered, no_signals, signal
 from .url_signals import lookalike
 
@@ -38,14 +39,14 @@ def sender_signals(df: DataFrame, header_text: str, sender_email: Column, sender
     df = df.withColumn("_label", urls.domain_label(F.col("_rd"))).withColumn("_tld", urls._suffix(F.col("_rd")))
     df = df.withColumn("_canon_name", text.canonical(F.col("_name"))).withColumn("_flat", F.regexp_replace(text.canonical(F.col("_label")), "[-_.]", ""))
     df = df.withColumn("_brand", F.when(F.col("_name") != "", _named_brand(F.col("_canon_name"))))
-    df = df.withColumn("_like", F.when((F.col("_rd") != "") & ~F.col("_rd").isin(*K.OFFICIAL_DOMAINS), lookalike(F.col("_flat"), None, most_first=False)))
+    df = df.withColumn("_like", F.when((F.col("_rd") != "") & ~among(F.col("_rd"), K.OFFICIAL_DOMAINS), lookalike(F.col("_flat"), None, most_first=False)))
     for k, n in (("_subject", "subject"), ("_mailer", "x-mailer"), ("_to", "to"), ("_refs", "references"), ("_irt", "in-reply-to")):
         df = df.withColumn(k, of(n))
     sender, reply, path, auth, rd = F.col("_from"), F.col("_reply"), F.col("_path"), F.col("_auth"), F.col("_rd")
     failed = F.filter(F.array(*[F.when(auth[k].isin("fail", "softfail", "permerror"), F.lit(k)) for k in ("spf", "dkim", "dmarc")]), lambda x: x.isNotNull())
     passed = F.coalesce((auth["spf"] == "pass") & (F.coalesce(auth["dkim"], empty).eqNullSafe("pass") | F.coalesce(auth["dmarc"], empty).eqNullSafe("pass")), F.lit(False))
     unlike = lambda a, d: (a["domain"] != "") & ((sender["domain"] == "") | (d != rd))
-    free = rd.isin(*K.FREE_MAIL_DOMAINS)
+    free = among(rd, K.FREE_MAIL_DOMAINS)
     n_claims = F.size("_claims")
     verified = F.coalesce(F.array_contains(F.get("_claims", F.lit(0))["sites"], rd), F.lit(False))
     like = F.col("_like")
@@ -58,12 +59,12 @@ def sender_signals(df: DataFrame, header_text: str, sender_email: Column, sender
         signal(auth["present"] & (F.size(failed) > 0), 206, "sender-auth-fail", "sender", F.when(F.array_contains(failed, "dmarc"), 26).otherwise(20), F.array_join(failed, " ")),
         signal(auth["present"] & (F.size(failed) == 0) & passed, 207, "sender-auth-pass", "positive", -14, F.concat_ws(" ", auth["spf"], auth["dkim"], auth["dmarc"])),
         signal(like.isNotNull(), 208, "sender-lookalike-domain", "sender", F.when(like["kind"] == "typosquat", 26).otherwise(22), rd),
-        signal(rd.isin(*K.DISPOSABLE_MAIL_DOMAINS), 209, "sender-disposable", "sender", 22, rd),
-        signal((rd != "") & F.col("_tld").isin(*K.SUSPICIOUS_TLDS), 210, "sender-suspicious-tld", "sender", 13, rd),
+        signal(among(rd, K.DISPOSABLE_MAIL_DOMAINS), 209, "sender-disposable", "sender", 22, rd),
+        signal((rd != "") & among(F.col("_tld"), K.SUSPICIOUS_TLDS), 210, "sender-suspicious-tld", "sender", 13, rd),
         signal((n_claims > 0) & verified, 211, "sender-brand-verified", "positive", -20, rd),
         signal((n_claims > 0) & ~verified & free, 212, "sender-brand-freemail", "sender", 22, sender["address"]),
         signal((n_claims > 0) & ~verified & ~free, 213, "sender-brand-mismatch", "sender", 18, sender["address"]),
-        signal((n_claims == 0) & like.isNull() & rd.isin(*K.TRUSTED_DOMAINS), 214, "sender-trusted-domain", "positive", -12, rd),
+        signal((n_claims == 0) & like.isNull() & among(rd, K.TRUSTED_DOMAINS), 214, "sender-trusted-domain", "positive", -12, rd),
         signal(rx.matches(F.col("_mailer"), r"\b(php ?mailer|swiftmailer|sendblaster|mass ?mailer|bulk|turbo-?smtp)\b"), 215, "sender-bulk-mailer", "sender", 10, text.shortened(F.col("_mailer"), 60)),
         signal(rx.matches(F.col("_subject"), r"^(?:re|fwd?)\s*:") & F.col("_refs").isNull() & F.col("_irt").isNull(), 216, "sender-fake-thread", "sender", 14, text.shortened(F.col("_subject"), 70)),
         signal(rx.matches(F.col("_to"), r"undisclosed[-\s]?recipients?"), 217, "sender-hidden-recipients", "sender", 9, text.shortened(F.col("_to"), 60)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, rx, text, urls
 from ..functions import knowledge as K
+from ..functions.text import strings
 from .signals import gathered, signal
 
 _WORD = "[0-9A-Za-z_]"
@@ -15,21 +16,17 @@ _CHAT = r"\b(?:wa\.me|t\.me|chat\.whatsapp\.com|api\.whatsapp\.com)\b"
 _RUN_OF_LETTERS = r"\b(?:[a-z][\s._*-]){3,}[a-z]\b"
 
 
-def claimed_brands(canonical: Column) -> Column:
-    """Array of structs brand, keyword, sites: the brands of which a keyword stands alone in the canonical text, in
-    the order of the table, each with its first keyword found."""
-    padded = F.concat(F.lit(" "), canonical, F.lit(" "))
-    found = []
+def claimed_brands(canonical: str) -> Column:
+    """Array of structs brand, keyword, sites, domain: the brands of which a keyword stands alone in this column of
+    canonical texts, in the order of the table, each with its first keyword found."""
+    rows = []
     for name, keywords, domains in K.BRANDS:
-        word = None
-        for k in keywords:
-            needle = derive.canonical(k)
-            plain = "".join(f"\\{c}" if c in ".*+?^${}()|[]\\" else c for c in needle)
-            hit = F.contains(padded, F.lit(needle)) & padded.rlike(f"(?:^|[^a-z0-9]){plain}(?:[^a-z0-9]|\\z)")
-            word = F.when(hit, F.lit(k.strip())) if word is None else word.when(hit, F.lit(k.strip()))
-        sites = F.array(*map(F.lit, derive.brand_sites()[name]))
-        found.append(F.when(word.isNotNull(), F.struct(F.lit(name).alias("brand"), word.alias("keyword"), sites.alias("sites"), F.lit(domains[0]).alias("domain"))))
-    return gathered(*found)
+        plain = {k: "".join(f"\\{c}" if c in ".*+?^${}()|[]\\" else c for c in derive.canonical(k)) for k in keywords}
+        hits = " ".join(f"WHEN contains(x, {text.quoted(derive.canonical(k))}) AND x RLIKE {text.quoted(f'(?:^|[^a-z0-9]){p}(?:[^a-z0-9]|\\z)')} THEN {text.quoted(k.strip())}" for k, p in plain.items())
+        sites = f"array({', '.join(map(text.quoted, derive.brand_sites()[name]))})"
+        rows.append(f"named_struct('brand', {text.quoted(name)}, 'keyword', CASE {hits} END, 'sites', {sites}, 'domain', {text.quoted(domains[0])})")
+    found = F.expr(f"get(transform(array(concat(' ', {canonical}, ' ')), x -> array({', '.join(rows)})), 0)")
+    return F.filter(found, lambda b: b["keyword"].isNotNull())
 
 
 def haystacks(df: DataFrame, column: str, prefix: str = "_") -> DataFrame:
@@ -44,14 +41,25 @@ def haystacks(df: DataFrame, column: str, prefix: str = "_") -> DataFrame:
     return df.withColumn(f"{p}h1", F.when(F.col(f"{p}h1") != F.col(f"{p}h0"), F.col(f"{p}h1")))
 
 
+def _quoted(s: str) -> str:
+    """A raw string of Spark SQL."""
+    return f"r'{s}'" if "'" not in s else f'r"{s}"'
+
+
 def tactic_hits(patterns: tuple[str, ...], prefix: str = "_") -> Column:
-    """The first match of each pattern that matches, in the first form that it matches; at most 90 characters each."""
-    forms = [F.col(f"{prefix}h{i}") for i in range(4)]
+    """The first match of each pattern that matches, in the first form that it matches; at most 90 characters each.
+
+    A pattern is tried on a form only where the texts stand that all its matches hold; the lower-cased forms are in the
+    columns l0 to l3.  One expression text a tactic keeps the making of plans short.
+    """
     found = []
     for p in patterns:
-        java = rx.java(p)
-        found.append(F.coalesce(*[F.when(h.rlike(java), F.substring(text.squeeze(F.regexp_extract(h, java, 0)), 1, 90)) for h in forms]))
-    return gathered(*found)
+        forms = []
+        for i in range(4):
+            near = " AND ".join("(" + " OR ".join(f"contains({prefix}l{i}, {_quoted(n)})" for n in group) + ")" for group in rx.needles(p)) or "true"
+            forms.append(f"CASE WHEN {near} THEN nullif(regexp_extract({prefix}h{i}, {_quoted(rx.java(p))}, 0), '') END")
+        found.append(f"coalesce({', '.join(forms)})")
+    return F.transform(F.expr(f"array_compact(array({', '.join(found)}))"), lambda x: F.substring(text.squeeze(x), 1, 90))
 
 
 def text_signals(df: DataFrame, column: str, links: str | None = None, out: str = "text_signals") -> DataFrame:
@@ -63,10 +71,10 @@ def text_signals(df: DataFrame, column: str, links: str | None = None, out: str
     keep = df.columns
     df = haystacks(df, column)
     df = df.withColumn("text_urls", text.urls_in(F.col("_h0"))).withColumn("emails", text.emails_in(F.col("_h0"))).withColumn("phones", text.phones_in(F.col("_h0")))
-    df = df.withColumn("claimed", claimed_brands(F.col("_canonical")))
+    df = df.withColumn("claimed", claimed_brands("_canonical"))
     df = df.withColumn("words", F.size(F.filter(F.split("_canonical", "\\s+"), lambda w: w != "")))
-    for i, (_, _, _, _, _, patterns) in enumerate(K.TACTICS):
-        df = df.withColumn(f"_t{i}", tactic_hits(patterns))
+    df = df.withColumns({f"_l{i}": F.lower(f"_h{i}") for i in range(4)})
+    df = df.withColumns({f"_t{i}": tactic_hits(patterns) for i, (*_, patterns) in enumerate(K.TACTICS)})
     tactics = []
     for i, (id_, category, weight, repeat, cap, _) in enumerate(K.TACTICS):
         hits = F.size(f"_t{i}")
@@ -77,9 +85,9 @@ def text_signals(df: DataFrame, column: str, links: str | None = None, out: str
     raw, n_urls, n_tactics, words = F.col("_h0"), F.size("text_urls"), F.size("tactics"), F.col("words")
     canonical = F.col("_canonical")
     foreign = F.get(F.filter("claimed", lambda c: ~F.arrays_overlap(c["sites"], F.col("_sites"))), F.lit(0))
-    topics = F.filter(F.array(*map(F.lit, K.SENSITIVE_TOPICS)), lambda t: F.contains(canonical, t))
+    topics = F.filter(strings(K.SENSITIVE_TOPICS), lambda t: F.contains(canonical, t))
     ids = F.transform("tactics", lambda t: t["id"])
-    strong = F.arrays_overlap(ids, F.array(*map(F.lit, K.STRONG_TACTICS)))
+    strong = F.arrays_overlap(ids, strings(K.STRONG_TACTICS))
     caps = text.upper_ratio(raw)
     leet = F.filter(rx.extract_all(raw, r"\b[a-z]{2,}[0134578@$][a-z]{2,}\b"), lambda w: text.canonical(w).rlike("acc0unt|passw0rd|verif|p4y|b4nk|s3cur|l0gin|updat3|w1n|fr33"))
     df = df.withColumn("_topics", topics).withColumn("_leet", leet).withColumn("_caps", caps).withColumn("_foreign", foreign).withColumn("_strong", strong)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derive, rx, text, urls
 from ..functions import knowledge as K
+from ..functions.text import among, strings
 from .signals import gathered, signal, strongest
 
 MOST_URLS = 12
@@ -22,7 +23,8 @@ def lookalike(flat: Column, sub: Column, most_first: bool = True) -> Column:
 
     most_first: the highest score wins, the earlier brand of equals; else the first brand at all wins.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("brand"), F.lit(d).alias("official"), F.lit(x).alias("label"), F.lit(m).alias("most")) for i, (b, d, x, m) in enumerate(derive.brand_labels())])
+    rows = (f"named_struct('i', {i}, 'brand', {text.quoted(b)}, 'official', {text.quoted(d)}, 'label', {text.quoted(x)}, 'most', {m})" for i, (b, d, x, m) in enumerate(derive.brand_labels()))
+    table = text.constant(f"array({', '.join(rows)})")
 
     def hit(t: Column) -> Column:
         inside = F.contains(flat, t["label"]) & (flat != t["label"])
@@ -47,7 +49,7 @@ def url_facts(links: Column) -> Column:
         x["raw"].alias("raw"), x["p"].alias("p"), x["host"].alias("host"), x["rd"].alias("rd"), urls._suffix(x["rd"]).alias("tld"),
         F.when(x["host"] == x["rd"], F.lit("")).otherwise(F.substring(x["host"], F.lit(1), F.greatest(F.length(x["host"]) - F.length(x["rd"]) - 1, F.lit(0)))).alias("sub"),
         urls.unescaped(x["p"]["path"]).alias("path"), urls.parameters(x["p"]["query"]).alias("params"),
-        x["rd"].isin(*K.OFFICIAL_DOMAINS).alias("official"), x["rd"].isin(*K.TRUSTED_DOMAINS).alias("trusted"),
+        among(x["rd"], K.OFFICIAL_DOMAINS).alias("official"), among(x["rd"], K.TRUSTED_DOMAINS).alias("trusted"),
     ))
     names = ("raw", "p", "host", "rd", "tld", "sub", "path", "params", "official", "trusted")
     tail = lambda x: F.concat(F.lit("."), x["tld"])
@@ -56,7 +58,7 @@ def url_facts(links: Column) -> Column:
     bare = lambda c: F.regexp_replace(text.canonical(c), "[-_.]", "")
     a = F.transform(a, lambda x: F.struct(*[x[n].alias(n) for n in names], bare(x["label"]).alias("flat"), bare(x["sub"]).alias("flat_sub"), text.canonical(F.concat(x["host"], x["path"], x["p"]["query"])).alias("all")))
     names = (*names, "all")
-    return F.transform(a, lambda x: F.struct(*[x[n].alias(n) for n in names], F.when(~x["official"], lookalike(x["flat"], x["flat_sub"])).alias("like"), F.filter(F.array(*map(F.lit, K.CREDENTIAL_PATH_WORDS)), lambda w: F.contains(x["all"], w)).alias("hot")))
+    return F.transform(a, lambda x: F.struct(*[x[n].alias(n) for n in names], F.when(~x["official"], lookalike(x["flat"], x["flat_sub"])).alias("like"), F.filter(strings(K.CREDENTIAL_PATH_WORDS), lambda w: F.contains(x["all"], w)).alias("hot")))
 
 
 def _signals_of(x: Column, claimed: Column) -> Column:
@@ -66,10 +68,10 @@ def _signals_of(x: Column, claimed: Column) -> Column:
     extra = F.greatest(F.lit(0), F.size(F.filter(F.split(host, r"\."), lambda v: v != "")) - F.size(F.split(rd, r"\.")))
     hyphens = F.length(label) - F.length(F.replace(label, F.lit("-"), F.lit("")))
     letters = F.regexp_replace(label, "[^a-z0-9]", "")
-    shortener = rd.isin(*K.URL_SHORTENERS) | host.isin(*K.URL_SHORTENERS)
+    shortener = among(rd, K.URL_SHORTENERS) | among(host, K.URL_SHORTENERS)
     hosting = urls.free_hosting(host)
-    redirect = F.get(F.filter(x["params"], lambda q: F.lower(q["key"]).isin(*K.REDIRECT_PARAMS) & rx.matches(q["value"], "https?%3a|https?://")), F.lit(0))
-    identity = F.transform(F.filter(x["params"], lambda q: F.lower(q["key"]).isin(*K.IDENTITY_PARAMS)), lambda q: q["key"])
+    redirect = F.get(F.filter(x["params"], lambda q: among(F.lower(q["key"]), K.REDIRECT_PARAMS) & rx.matches(q["value"], "https?%3a|https?://")), F.lit(0))
+    identity = F.transform(F.filter(x["params"], lambda q: among(F.lower(q["key"]), K.IDENTITY_PARAMS)), lambda q: q["key"])
     extension = F.regexp_extract(F.lower(path), r"\.([a-z0-9]{2,5})(?:\z|[?#])", 1)
     strange = p["host"].rlike("[^\\x00-\\x7f]") | p["host"].rlike(r"(?i)(^|\.)xn--")
     weight = {"typosquat": F.when(like["distance"] == 1, 26).otherwise(21), "embedded": F.lit(22), "subdomain": F.lit(24)}
@@ -86,7 +88,7 @@ def _signals_of(x: Column, claimed: Column) -> Column:
         signal((extra == 2) & ~x["trusted"], 309, "url-many-subdomains", "url", 6, host, href),
         signal(hyphens >= 3, 310, "url-hyphen-spam", "domain", 11, rd, href),
         signal((hyphens == 2) & ~x["trusted"], 311, "url-hyphens", "domain", 5, rd, href),
-        signal(x["tld"].isin(*K.SUSPICIOUS_TLDS), 312, "url-suspicious-tld", "domain", 14, rd, href),
+        signal(among(x["tld"], K.SUSPICIOUS_TLDS), 312, "url-suspicious-tld", "domain", 14, rd, href),
         signal(hosting.isNotNull(), 313, "url-free-hosting", "domain", 12, host, href),
         signal(F.length(label) >= 25, 314, "url-long-domain", "domain", 7, rd, href),
         signal((F.length(label) >= 8) & (text.entropy(letters) > 3.6), 315, "url-random-domain", "domain", 10, rd, href),
@@ -99,7 +101,7 @@ def _signals_of(x: Column, claimed: Column) -> Column:
         signal(redirect.isNotNull(), 322, "url-open-redirect", "url", 15, F.concat_ws("=", redirect["key"], text.shortened(redirect["value"], 80)), href),
         signal(F.size(identity) > 0, 323, "url-identity-params", "credential-theft", 13, text.shortened(query, 100), href),
         signal(query.rlike(r"[?&](?:[a-z0-9_-]{1,12}=)?[A-Za-z0-9+/]{40,}={0,2}(?:&|\z)"), 324, "url-encoded-blob", "url", 8, text.shortened(query, 90), href),
-        signal(extension.isin(*K.DANGEROUS_EXTENSIONS), 325, "url-dangerous-file", "url", F.when(extension.isin(*K.HIGH_RISK_EXTENSIONS), 24).otherwise(13), text.shortened(path, 100), href),
+        signal(among(extension, K.DANGEROUS_EXTENSIONS), 325, "url-dangerous-file", "url", F.when(among(extension, K.HIGH_RISK_EXTENSIONS), 24).otherwise(13), text.shortened(path, 100), href),
         signal(F.length(href) > 130, 326, "url-very-long", "url", 6, F.length(href), href),
         signal(x["official"], 327, "url-official-domain", "positive", -22, rd, href),
         signal(x["trusted"] & ~x["official"], 328, "url-trusted-domain", "positive", -16, rd, href),
@@ -124,7 +126,7 @@ def url_signals(df: DataFrame, links: str, claimed: Column | None = None, out: s
     lone = lambda e: (F.size(e["s"]) == 0) & e["x"]["p"].isNotNull() & (e["x"]["p"]["scheme"] == "https") & ~e["x"]["trusted"]
     df = df.withColumn("_each", F.transform("_each", lambda e: F.struct(e["x"].alias("x"), F.when(lone(e), F.array(clean)).otherwise(e["s"]).alias("s"))))
     total = lambda s: F.aggregate(s, F.lit(0), lambda a, v: a + F.greatest(v["weight"], F.lit(0)))
-    shortener = lambda x: F.coalesce(x["rd"].isin(*K.URL_SHORTENERS) | x["host"].isin(*K.URL_SHORTENERS), F.lit(False))
+    shortener = lambda x: F.coalesce(among(x["rd"], K.URL_SHORTENERS) | among(x["host"], K.URL_SHORTENERS), F.lit(False))
     df = df.withColumn("url_results", F.transform("_each", lambda e: F.struct(
         F.coalesce(e["x"]["p"]["href"], e["x"]["raw"]).alias("url"), F.coalesce(e["x"]["host"], F.lit("")).alias("host"), F.coalesce(F.when(e["x"]["p"].isNotNull(), e["x"]["rd"]), F.lit("")).alias("rd"),
         F.coalesce(e["x"]["p"]["scheme"], F.lit("")).alias("scheme"), shortener(e["x"]).alias("shortener"), e["x"]["like"]["brand"].alias("impersonates"),

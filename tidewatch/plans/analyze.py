@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ from ..functions import knowledge as K
 from ..functions.urls import parse_url
 from ..operators.explain import explanation
 from ..operators.page_signals import page_signals
-from ..operators.scoring import Scoring, feature_groups, fuse, score_signals
+from ..operators.models import MessageModel, predict_messages, predict_urls
+from ..operators.scoring import Scoring, feature_groups, fuse, probability_signal, score_signals
 from ..operators.sender_signals import sender_signals
-from ..operators.signals import no_signals
+from ..operators.signals import SIGNAL, no_signals
 from ..operators.text_signals import claimed_brands, haystacks, text_signals
 from ..operators.url_signals import url_signals
 from ..sources.records import records
@@ -79,7 +81,7 @@ def rule_signals(df: DataFrame) -> DataFrame:
     df = df.withColumn("_of", F.concat_ws(" ", "body", F.coalesce(mail.header(F.col("header_text"), "subject"), F.lit("")), F.coalesce(mail.header(F.col("header_text"), "from"), F.lit("")), F.coalesce("sender_name", F.lit(""))))
     keep = df.columns
     df = haystacks(df, "_of", prefix="_b_").select(*keep, F.col("_b_canonical").alias("_b"))
-    df = df.withColumn("brands", claimed_brands(F.col("_b")))
+    df = df.withColumn("brands", claimed_brands("_b"))
     written = F.when((F.trim("body") != "") & (F.col("kind") != "url"), F.col("body"))
     df = df.withColumn("_text", written)
     df = text_signals(df, "_text", "page_links")
@@ -95,15 +97,56 @@ def rule_signals(df: DataFrame) -> DataFrame:
 Provider = Callable[[DataFrame], Column]
 
 
-def analyze(df: DataFrame, providers: tuple[Provider, ...] = (), review_score: str | None = None, review_weight: float = 0.35, scoring: Scoring = Scoring()) -> DataFrame:
+def ranked_urls(results: Column) -> Column:
+    """The links of url_results, those with most points first, equals in their order."""
+    order = F.array_sort(F.transform(results, lambda r, i: F.struct((-r["points"]).alias("o"), i.alias("i"), r["url"].alias("url"))))
+    return F.transform(order, lambda x: x["url"])
+
+
+def model_stage(key: str, message_model: MessageModel | None = None, url_model: PipelineModel | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A step for analyze(enrich=...): adds ml (struct used, probability, models, message, url) and ml_signals.
+
+    The message model reads the body where it is not blank, the URL model the link ranked first; the probability is
+    the greater of the two.  key: a column that tells rows apart; rows with a null key or nothing to classify get
+    used = false and no signals.
+    """
+
+    def step(df: DataFrame) -> DataFrame:
+        keep = df.columns
+        df = df.withColumn("_first", F.get(ranked_urls(F.col("url_results")), F.lit(0)))
+        df = df.withColumn("_m", F.lit(None).cast("double")).withColumn("_u", F.lit(None).cast("double"))
+        if message_model is not None:
+            found = predict_messages(df.where(F.trim(F.coalesce("body", F.lit(""))) != ""), message_model, key, "body").select(F.col(key).alias("_key"), F.col("probability").alias("_pm"))
+            df = df.join(found.dropDuplicates(["_key"]), F.col(key) == F.col("_key"), "left").withColumn("_m", F.col("_pm")).drop("_key", "_pm")
+        if url_model is not None:
+            df = predict_urls(df, url_model, "_first").withColumn("_u", F.when(F.col("_first").isNotNull(), F.col("probability"))).drop("probability", "indicators", "label")
+        signals = F.array_compact(F.array(*[_model_signal(F.col(c), kind, i) for i, (c, kind) in enumerate((("_m", "message"), ("_u", "url")))]))
+        models = F.array_compact(F.array(F.when(F.col("_m").isNotNull(), F.lit("message")), F.when(F.col("_u").isNotNull(), F.lit("url"))))
+        ml = F.struct((F.size(models) > 0).alias("used"), F.greatest("_m", "_u").alias("probability"), models.alias("models"), F.col("_m").alias("message"), F.col("_u").alias("url"))
+        return df.select(*keep, ml.alias("ml"), signals.alias("ml_signals"))
+
+    return step
+
+
+def _model_signal(p: Column, kind: str, place: int) -> Column:
+    s = probability_signal(p, kind)
+    row = F.struct(F.lit(601 + place).alias("ord"), s["id"].alias("id"), s["category"].alias("category"), s["weight"].alias("weight"), p.cast("string").alias("evidence"), F.lit(None).cast("string").alias("url"))
+    return F.when(s.isNotNull(), row.cast(SIGNAL))
+
+
+def analyze(df: DataFrame, providers: tuple[Provider, ...] = (), review_score: str | None = None, review_weight: float = 0.35, scoring: Scoring = Scoring(), enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The whole analysis of records (see sources.records.FIELDS; missing columns are nulls).
 
     providers: functions from the frame with the rules' signals to a column of further signals, such as the model's or
-    reputation's.  review_score: a column with another score of 0 to 100 to blend in.  Adds, besides what the steps
+    reputation's.  enrich: a step on that frame before them, such as model_stage, whose ml_signals count if it adds
+    any.  review_score: a column with another score of 0 to 100 to blend in.  Adds, besides what the steps
     add, groups (feature groups) and explanation; score and level are the final ones.
     """
     df = rule_signals(preprocess(df))
     df = df.withColumn("groups", feature_groups(F.col("signals")))
+    if enrich:
+        df = enrich(df)
+        providers = (*((lambda d: F.col("ml_signals"),) if "ml_signals" in df.columns else ()), *providers)
     for p in providers:
         df = df.withColumn("signals", F.concat("signals", F.coalesce(p(df), no_signals())))
     df = score_signals(df, "signals", scoring)

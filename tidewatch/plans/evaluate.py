@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
 
+#: Ranges that distinct scores are ordered in.
+RANGES = 256
 CANDIDATES = tuple(round(0.02 + 0.01 * i, 2) for i in range(94))
 
 
@@ -26,24 +31,67 @@ def metrics(rows: DataFrame, truth: str, predicted: Column, *by: str) -> DataFra
 
 
 def roc_auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row, auc (4 places; null with one class only): by ranks of distinct scores, so that nothing but counts by
-    score is ordered."""
+    """One row, auc (4 places; null with one class only): by ranks of distinct scores, ordered in RANGES ranges, so that
+    no task sees them all."""
     rows = rows.select(F.col(truth).alias("_y"), F.col(score).alias("_s")).where(F.col("_y").isNotNull() & F.col("_s").isNotNull())
     by = rows.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
+    # scores are dealt to ranges by their approximate quantiles; the ranges before one are summed up apart
+    cuts = by.agg(F.percentile_approx("_s", [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first()["q"] or []
+    ranges = F.size(F.filter(F.array(*[F.lit(float(q)) for q in sorted(set(cuts))]).cast("array<double>"), lambda q: q < F.col("_s").cast("double")))
+    by = by.withColumn("_r", ranges)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    under = by.groupBy("_r").agg(F.sum("n").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_under"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_under")
+    wins = by.join(F.broadcast(under), "_r").select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
     return wins.agg(half_up(F.sum("w") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 4).alias("auc"))
 
 
-def index_percentile(values: Column, share: float) -> Column:
-    """The element at floor(n * share), from 0, of the sorted values; an aggregate, not interpolated."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * share).cast("int")))
+def index_percentile(column: str, share: float, n: int) -> Column:
+    """The element at floor(n * share), from 0, of the n sorted values; an aggregate over counts of values."""
+    place = (min(n - 1, floor(n * share)) + 0.5) / max(n, 1)
+    return F.expr(f"percentile_disc({min(1.0, max(0.0, place))!r}D) within group (order by `{column}`)")
 
 
 def latency(rows: DataFrame, ms: str) -> DataFrame:
-    """One row: mean, median, p95, max, by exact percentiles over counts of values (bounded by their number)."""
-    return rows.agg(half_up(F.avg(ms), 2).alias("mean"), F.expr(f"percentile_disc(0.5) within group (order by {ms})").alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {ms})").alias("p95"), F.max(ms).alias("max"))
+    """One row: mean, median, p95, max; percentiles are the elements at floor(n * share).  Nulls are left out."""
+    n = rows.where(F.col(ms).isNotNull()).count()
+    return rows.agg(half_up(F.avg(ms), 2).alias("mean"), index_percentile(ms, 0.5, n).alias("median"), index_percentile(ms, 0.95, n).alias("p95"), F.max(ms).alias("max"))
+
+
+def average_precision(rows: DataFrame, truth: str, score: str) -> DataFrame:
+    """One row, average_precision (4 places): the sum of precisions at each distinct score, weighted by the recall that
+    it adds; null without positives."""
+    rows = rows.select(F.col(truth).alias("_y"), F.col(score).cast("double").alias("_s")).where(F.col("_y").isNotNull() & F.col("_s").isNotNull())
+    by = rows.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count("*").alias("n"))
+    cuts = by.agg(F.percentile_approx("_s", [i / RANGES for i in range(1, RANGES)], 10_000).alias("q")).first()["q"] or []
+    by = by.withColumn("_r", F.size(F.filter(F.array(*[F.lit(float(q)) for q in sorted(set(cuts))]).cast("array<double>"), lambda q: q < F.col("_s"))))
+    above = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    over = by.groupBy("_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).select("_r", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_over") for c in ("_p", "_n")])
+    own = Window.partitionBy("_r").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    both = by.join(F.broadcast(over), "_r").select("p", (F.sum("p").over(own) + F.col("_p_over")).alias("tp"), (F.sum("n").over(own) + F.col("_n_over")).alias("flagged"))
+    return both.agg(half_up(F.sum(F.col("p") * F.col("tp") / F.col("flagged")) / F.nullif(F.sum("p"), F.lit(0)), 4).alias("average_precision"))
+
+
+def stratified_split(rows: DataFrame, truth: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """rows with held_out: a ``share`` of each class, by a hash of the key (the same for all rows of a key)."""
+    part = F.pmod(F.xxhash64(F.lit(seed), truth, key), F.lit(1_000_000)) / 1_000_000
+    return rows.withColumn("held_out", part < share)
+
+
+def folds(rows: DataFrame, truth: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """rows with fold, 0 to k - 1, of near equal classes, by a hash of the key."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), truth, key), F.lit(k)).cast("int"))
+
+
+def cross_validated(rows: DataFrame, truth: str, key: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], k: int = 5, seed: int = 42) -> DataFrame:
+    """One row, f1_mean and f1_deviation over k folds.  fit: from training rows to a function that adds predicted."""
+    split, each = folds(rows, truth, key, k, seed).persist(), None
+    for i in range(k):
+        found = fit(split.where(F.col("fold") != i))(split.where(F.col("fold") == i))
+        one = metrics(found.withColumn("fold", F.lit(i)), truth, F.col("predicted"), "fold")
+        each = one if each is None else each.union(one)
+    out = each.agg(half_up(F.avg("f1"), 4).alias("f1_mean"), half_up(F.stddev_pop("f1"), 4).alias("f1_deviation"))
+    return out
 
 
 def accepted(found: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import knowledge as K
 from ..functions import text, urls
-from ..functions.text import half_up, shortened
+from ..functions.text import among, half_up, shortened
 from ..operators.signals import SIGNAL
 
 HISTORY_LIMIT, REPORT_LIMIT, TREND_DAYS, TOP = 500, 2000, 14, 8
@@ -52,7 +56,7 @@ def report_weight(reports: Column) -> Column:
 def intel_signals(links: DataFrame, known: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
     """links: id, domain, url.  known: reputation rows; blocklist: url.  id and its array intel of signals: one for each
     reported domain that is not trusted, and one if any link is listed."""
-    hits = links.select("id", "domain").distinct().join(known, "domain").where(~F.col("domain").isin(*K.TRUSTED_DOMAINS))
+    hits = links.select("id", "domain").distinct().join(known, "domain").where(~among(F.col("domain"), K.TRUSTED_DOMAINS))
     found = hits.select("id", F.struct(F.lit(501).alias("ord"), F.concat(F.lit("intel-reported-"), "domain").alias("id"), F.lit("intel").alias("category"), report_weight(F.col("reports")).alias("weight"), F.col("last_reported_at").cast("string").alias("evidence"), F.lit(None).cast("string").alias("url")).cast(SIGNAL).alias("s"))
     if blocklist is not None:
         listed = links.join(blocklist.select("url").distinct(), "url", "left_semi").groupBy("id").agg(F.min("url").alias("u"))
@@ -93,13 +97,82 @@ def trend(rows: DataFrame, at: str = "analyzed_at", days: int = TREND_DAYS) -> D
 
 
 def rate_limited(requests: DataFrame, key: str, at: str, *ties: str, window_s: int = 60, most: int = 60) -> DataFrame:
-    """requests with n (the request's number in its window), remaining and limited.  Windows are fixed and start on
-    the epoch's multiples of window_s; streaming.rate_limit has windows that start with a key's first request."""
+    """As rate_limits, with windows that start on the epoch's multiples of window_s: for limits by the clock."""
     n = F.row_number().over(Window.partitionBy(key, "_w").orderBy(at, *ties))
     df = requests.withColumn("_w", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(window_s * 1_000_000))).withColumn("n", n)
     return df.withColumn("remaining", F.greatest(F.lit(0), F.lit(most) - F.col("n"))).withColumn("limited", F.col("n") > most).drop("_w")
 
 
+def _in_order(rows: DataFrame, key: str, at: str, ties: tuple[str, ...], out: str, step: Callable[[Any], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+    """rows with the columns that step adds to batches of them, which are in the order of key, time and ties.
+
+    Keys are dealt to tasks and sorted there; a task reads its rows once, in Arrow batches, and keeps the state of one
+    key only, so a key of any size needs no more memory than a batch.  Null keys are a key.
+    """
+    ordered = rows.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), at, *ties)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = step(None)
+        for b in batches:
+            yield fold(b)
+
+    return ordered.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), out]))
+
+
+def rate_limits(requests: DataFrame, key: str, at: str, *ties: str, window_s: int = 60, most: int = 60) -> DataFrame:
+    """requests with n (the request's number in its window), remaining and limited.  A key's window starts with its
+    first request, and anew with the first one at or after its end."""
+
+    def step(_: Any) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        state: list[Any] = [object(), None, 0]  # key, end of the window, count
+
+        def fold(b: pd.DataFrame) -> pd.DataFrame:
+            numbers = []
+            for k, t in zip(b[key], b[at], strict=True):
+                k = None if pd.isna(k) else k
+                if k != state[0] or t >= state[1]:
+                    state[:] = [k, t + pd.Timedelta(seconds=window_s), 0]
+                state[2] += 1
+                numbers.append(state[2])
+            n = pd.Series(numbers, index=b.index, dtype="int64")
+            return b.assign(n=n, remaining=(most - n).clip(lower=0), limited=n > most)
+
+        return fold
+
+    return _in_order(requests.where(F.col(at).isNotNull()), key, at, ties, "n long, remaining long, limited boolean", step)
+
+
+def circuit(calls: DataFrame, key: str, at: str, failed: str, *ties: str, threshold: int = 3, cooldown_s: float = 30) -> DataFrame:
+    """calls with refused (the circuit was open, the call was not made) and failures (the count after the call).
+
+    The circuit opens with the failure that reaches the threshold.  A call more than cooldown_s later closes it and
+    starts the count anew, and so does a success.
+    """
+
+    def step(_: Any) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        state: list[Any] = [object(), 0, None]  # key, failures, when it opened
+
+        def fold(b: pd.DataFrame) -> pd.DataFrame:
+            counts, refused = [], []
+            for k, t, bad in zip(b[key], b[at], b[failed], strict=True):
+                k = None if pd.isna(k) else k
+                if k != state[0]:
+                    state[:] = [k, 0, None]
+                if state[1] >= threshold and t - state[2] > pd.Timedelta(seconds=cooldown_s):
+                    state[1] = 0
+                refused.append(state[1] >= threshold)
+                if not refused[-1]:
+                    state[1] = state[1] + 1 if bad else 0
+                    if state[1] >= threshold:
+                        state[2] = t
+                counts.append(state[1])
+            return b.assign(failures=pd.Series(counts, index=b.index, dtype="int64"), refused=pd.Series(refused, index=b.index, dtype="bool"))
+
+        return fold
+
+    return _in_order(calls.where(F.col(at).isNotNull()), key, at, ties, "failures long, refused boolean", step)
+
+
 def breaker(calls: DataFrame, key: str, at: str, failed: str, *ties: str, threshold: int = 3) -> DataFrame:
     """calls with failures: how many in a row have failed up to and with this one, and open: whether that reaches the
     threshold.  A success starts the count anew."""

@@ -21,6 +21,10 @@ from .plans.analyze import analyze, channel, input_type
 from .sources.records import validated
 
 
+#: What stands before the last </body> (or all), and the rest.
+_BODY = r"(?is)\A(.*(?=</body>)|(?!.*</body>).*)(.*)\z"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,10 +49,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, html: every page with a fragment before the end of its body."""
+    """page_id, url, html: every page with a fragment before the last end of its body, or after all where there is none."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     over = _overlay(spark, fixtures.PAGES, "fragment")
-    return pages.join(over, (F.col("page_id") % len(fixtures.PAGES)).cast("int") == F.col("k")).select("page_id", "url", F.concat(F.regexp_replace("html", "(?is)</body>.*", ""), "fragment").alias("html"))
+    return pages.join(over, (F.col("page_id") % len(fixtures.PAGES)).cast("int") == F.col("k")).select("page_id", "url", F.concat(F.regexp_extract("html", _BODY, 1), "fragment", F.regexp_extract("html", _BODY, 2)).alias("html"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,14 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
     df = messages(spark, sf_dir)
     return df.select(
-        "doc_id", F.length(text.squeeze(c)).alias("squeezed"), text.half_up(text.upper_ratio(c) * 1000).cast("bigint").alias("upper"), F.array_join(text.emails_in(c), ",").alias("emails"),
-        text.occurrences(c, "the").alias("thes"), F.md5(text.shortened(c, 160)).alias("preview"), F.length(text.json_object(F.concat(F.lit("x {a} "), c))).alias("json"),
+        "doc_id", F.md5(text.squeeze(c)).alias("squeezed"), text.half_up(text.upper_ratio(c) * 1000).cast("bigint").alias("upper"), F.array_join(text.emails_in(c), ",").alias("emails"),
+        text.occurrences(c, "the").alias("thes"), F.md5(text.shortened(c, 160)).alias("preview"), F.md5(text.json_object(F.concat(F.lit("x {a} "), c))).alias("json"),
     )
 
 
 def message_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = text.text_statistics(F.col("content"))
-    return messages(spark, sf_dir).select("doc_id", s.alias("s")).select("doc_id", "s.characters", "s.words", "s.links", "s.emails", "s.digits", "s.exclamations")
+    return messages(spark, sf_dir).select("doc_id", s.alias("s")).select("doc_id", "s.characters", "s.words", "s.links", "s.emails", "s.digits", "s.caps_ratio", "s.exclamations")
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +111,15 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("doc_id", F.md5(text.canonical(text.despaced(c))).alias("canonical"), text.fnv1a(c).alias("record_id"), F.round(text.entropy(c), 6).alias("entropy"))
 
 
+def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each disguise undone by itself: blanks, look-alikes, leet, letters set apart; edit distance with a bound."""
+    c = F.col("content")
+    return messages(spark, sf_dir).select(
+        "doc_id", F.md5(text.plain_blanks(c)).alias("plain"), F.md5(text.dehomoglyph(c)).alias("dehomoglyph"), F.md5(text.deleet(c)).alias("deleet"), F.md5(text.despaced(text.plain_blanks(c))).alias("despaced"),
+        text.edit_distance(F.substring(c, 1, 12), F.substring(c, 3, 12), 5).alias("distance"), F.floor(text.half_up(F.length(c) / 7, 2) * 100).cast("bigint").alias("rounded"),
+    )
+
+
 def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = input_type(F.col("content"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return messages(spark, sf_dir).select("doc_id", kind.alias("kind")).withColumn("channel", channel(F.col("kind")))
@@ -114,7 +127,9 @@ def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
-    rows = c.select(F.col("conv_id"), F.col("turn"), F.col("role").alias("type"), F.when(F.col("turn") % 5 == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"))
+    rows = c.select("conv_id", "turn", F.col("role").alias("type"), F.col("text").alias("content"))
+    for i, odd in enumerate(("", " \t\n", None)):  # each turn again with a text that must not pass
+        rows = rows.union(c.select("conv_id", F.col("turn") + 1000 * (i + 1), F.lit("sms"), F.lit(odd).cast("string")))
     return validated(rows).select("conv_id", "turn", "type", "error", F.length("content").alias("n"))
 
 
@@ -155,7 +170,7 @@ def score_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("l_linenumber").cast("int").alias("ord"), F.concat(F.lit("s"), (F.col("l_partkey") % 9).cast("string")).alias("id"), kind.alias("category"), weight.cast("int").alias("weight"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("url"))
     df = li.select("l_orderkey", row.cast(SIGNAL).alias("s")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("signals"))
     df = scoring.score_signals(df, "signals")
-    return df.select("l_orderkey", F.col("evidence").cast("bigint").alias("evidence"), F.size("risky").cast("bigint").alias("risky"), F.size("positives").cast("bigint").alias("positives"), F.size("categories").cast("bigint").alias("categories"), F.col("floor").cast("bigint").alias("floor"), F.col("score").cast("bigint").alias("score"), "level")
+    return df.select("l_orderkey", F.col("evidence").cast("bigint").alias("evidence"), F.size("risky").cast("bigint").alias("risky"), F.size("positives").cast("bigint").alias("positives"), F.size("categories").cast("bigint").alias("categories"), F.col("floor").cast("bigint").alias("floor"), "damping_factor", "damping", "net", "curve", F.col("score").cast("bigint").alias("score"), "level", "confidence", F.array_join(F.transform("categories", lambda c: F.concat_ws(":", c["category"], c["raw"].cast("string"), c["applied"].cast("string"), c["signals"].cast("string"))), ",").alias("by_category"))
 
 
 def model_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,23 +208,23 @@ def history_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as reports on the hosts of pages; trusted domains have no weight."""
+    """Events as reports on the hosts of all pages, event after event; trusted domains have no weight."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    n = 40
+    n = max(1, pages.count())
     e = _table(spark, sf_dir, "events").select(F.col("ts").alias("reported_at"), (F.col("event_id") % n).alias("k"), F.col("user_id").cast("string").alias("reporter"))
-    reports = e.join(pages.where(F.col("page_id") < n), F.col("k") == F.col("page_id")).select("reported_at", "url", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("level"), "reporter")
+    reports = e.join(pages, F.col("k") == F.col("page_id")).select("reported_at", "url", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("level"), "reporter")
     rep = history.reputation(history.report_rows(reports))
     return rep.select("domain", "reports", "reporters", F.unix_micros(F.col("last_reported_at").cast("timestamp")).alias("last_us"), history.report_weight(F.col("reports")).cast("bigint").alias("weight"))
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    return history.rate_limited(e, "event_type", "ts", "event_id", window_s=3600, most=2).select("event_id", F.col("n").cast("bigint").alias("n"), F.col("remaining").cast("bigint").alias("remaining"), "limited")
+    return history.rate_limits(e, "event_type", "ts", "event_id", window_s=3600, most=2).select("event_id", F.col("n").cast("bigint").alias("n"), F.col("remaining").cast("bigint").alias("remaining"), "limited")
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") > 40).alias("failed"))
-    return history.breaker(e, "user_id", "ts", "failed", "event_id").select("event_id", "failures", "open")
+    return history.circuit(e, "user_id", "ts", "failed", "event_id", cooldown_s=86_400).select("event_id", F.col("failures").cast("bigint").alias("failures"), "refused")
 
 
 def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +298,7 @@ def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        flagship, url_parse, url_signal_table, url_model_features, text_scalars, message_statistics, visible_text, link_extraction, normal_forms, message_types, record_validation, tactic_table,
+        flagship, url_parse, url_signal_table, url_model_features, text_scalars, message_statistics, visible_text, link_extraction, normal_forms, canonical_forms, message_types, record_validation, tactic_table,
         text_signal_table, message_verdicts, mail_verdicts, site_verdicts, score_core, model_signals, history_totals, history_by_type, history_trend, history_latest, history_page, history_top,
         report_reputation, rate_limit, circuit_breaker, label_metrics, label_auc, threshold_sweep, threshold_choice, threshold_robust, latency_figures, normalized_messages, url_model, message_model,
         knowledge_tables, private_addresses,
