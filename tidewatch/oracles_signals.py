@@ -11,6 +11,7 @@ import re
 from . import fixtures
 from .functions import derive
 from .functions import knowledge as K
+from .functions import knowledge_model as M
 from .oracles import _INVISIBLE, _MESSAGES, _list, _plain, canonical, despaced
 
 _lit = fixtures.literal
@@ -186,3 +187,51 @@ SIGNAL_SQL: dict[str, str] = {
                                 WHEN len(string_split_regex(b, '\\s+')) <= 45 THEN 'sms' ELSE 'message' END AS kind FROM bodies)
         SELECT doc_id, kind, CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.CHANNELS.items())} ELSE 'message' END AS channel FROM kinds""",
 }
+
+
+def _taken(text: str, chars: str) -> str:
+    """How many of the text's characters are among chars."""
+    return f"(length({text}) - length(translate({text}, {_lit(chars)}, '')))"
+
+
+def _named_in(text: str) -> str:
+    return f"NOT official AND len(list_filter({_LABELS}, lambda b: contains({text}, b))) > 0"
+
+
+_LABELS = _list([x for x in M.BRAND_LABELS if len(x) >= 4])
+_ENTROPY = "coalesce(round(list_aggregate(list_filter(string_split({0}, ''), lambda x: x <> ''), 'entropy'), 4), 0)"
+_FEATURES = {
+    "url_length": "length(cand)", "host_length": "length(host)", "path_length": "length(path)", "query_length": "length(query)", "label_length": "length(label)", "num_dots_host": _taken("host", "."), "num_hyphens_host": _taken("host", "-"),
+    "num_subdomains": f"CASE WHEN sub = '' THEN 0 ELSE {_taken('sub', '.')} + 1 END", "num_path_segments": "len(list_filter(string_split(path, '/'), lambda s: s <> ''))", "num_params": "len(pairs)",
+    "num_digits_host": "length(regexp_replace(host, '[^0-9]', '', 'g'))", "digit_ratio_host": "CASE WHEN host = '' THEN 0 ELSE round(length(regexp_replace(host, '[^0-9]', '', 'g'))::DOUBLE / length(host), 4) END",
+    "num_digits_url": "length(regexp_replace(cand, '[^0-9]', '', 'g'))", "count_at": f"{_taken('netloc', '@')} + {_taken('path', '@')}", "count_percent": _taken("cand", "%"), "count_equals": _taken("cand", "="), "count_ampersand": _taken("cand", "&"),
+    "count_underscore": _taken("cand", "_"), "num_special_chars": _taken("cand", "@%=&~+,;$!*'()"), "is_https": "scheme = 'https'", "has_port": "port NOT IN ('', '0', '80', '443')", "is_ip_host": "regexp_matches(host, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$')",
+    "has_punycode": "contains(host, 'xn--')", "non_ascii_count": "length(regexp_replace(host, '[\\x00-\\x7f]', '', 'g'))", "host_entropy": _ENTROPY.format("host"), "path_entropy": _ENTROPY.format("path"),
+    "tld_suspicious": f"list_contains({_list(M.SUSPICIOUS_TLDS)}, suffix)", "tld_common": f"list_contains({_list(M.COMMON_TLDS)}, suffix)", "tld_length": "length(suffix)",
+    "is_shortener": f"list_contains({_list(M.URL_SHORTENERS)}, rd) OR list_contains({_list(M.URL_SHORTENERS)}, host)", "is_free_hosting": f"len(list_filter({_list(M.FREE_HOSTING_SUFFIXES)}, lambda s: host = s OR ends_with(host, '.' || s))) > 0",
+    "is_official_domain": "official", "brand_in_label": _named_in("flat"), "brand_in_subdomain": _named_in("flat_sub"), "brand_in_path": _named_in("pq"), "nearest_brand_distance": "distance", "typosquat_flag": "NOT official AND distance BETWEEN 1 AND 2",
+    "credential_word_count": f"len(list_filter({_list(M.CREDENTIAL_URL_WORDS)}, lambda w: contains(pq, w) OR contains(host, w)))", "credential_word_in_host": f"len(list_filter({_list(M.CREDENTIAL_URL_WORDS)}, lambda w: contains(host, w))) > 0",
+    "has_redirect_param": f"list_has_any(keys, {_list(M.REDIRECT_PARAMS)}) AND regexp_matches(query, '(?i)https?(?::|%3a)')", "has_identity_param": f"list_has_any(keys, {_list(M.IDENTITY_PARAMS)})",
+    "has_executable_ext": f"list_contains({_list(M.EXECUTABLE_EXTENSIONS)}, ext)", "has_archive_or_html_ext": f"list_contains({_list(M.ARCHIVE_WEB_EXTENSIONS)}, ext)",
+    "has_base64_blob": "regexp_matches(CASE WHEN query <> '' THEN query ELSE path END, '[A-Za-z0-9+/]{32,}={0,2}')", "num_encoded_chars": "len(regexp_extract_all(cand, '%[0-9A-Fa-f]{2}'))",
+    "longest_token_length": "list_max(list_transform(string_split_regex(lower(cand), '[^A-Za-z0-9]+'), lambda t: length(t)))", "vowel_ratio_label": "CASE WHEN flat = '' THEN 0 ELSE round(length(regexp_replace(flat, '[^aeiou]', '', 'g'))::DOUBLE / length(flat), 4) END",
+    "max_consonant_run": "coalesce(list_max(list_transform(regexp_extract_all(flat, '[b-df-hj-np-tv-z]+'), lambda r: length(r))), 0)", "has_www": "starts_with(host, 'www.')", "double_slash_in_path": "contains(path, '//')",
+    "hyphen_ratio_label": f"CASE WHEN label = '' THEN 0 ELSE round({_taken('label', '-')}::DOUBLE / length(label), 4) END",
+}
+_BARE = "list_filter(string_split(regexp_replace(regexp_replace(trim(host), '\\.+$', ''), '^www\\.', ''), '.'), lambda v: v <> '')"
+SIGNAL_SQL["url_model_features"] = f"""
+    WITH given AS (SELECT page_id, CASE WHEN regexp_matches(trim(url), '(?i)^[a-z][a-z0-9+.-]*://') THEN trim(url) ELSE 'http://' || trim(url) END AS cand FROM pages),
+    cut AS (
+        SELECT page_id, cand, lower(regexp_extract(cand, '^([^:]*)://', 1)) AS scheme, regexp_extract(cand, '^[^:]*://([^/?#]*)', 1) AS netloc, regexp_extract(cand, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path,
+               regexp_extract(cand, '^[^?#]*\\?([^#]*)', 1) AS query FROM given),
+    hosted AS (SELECT *, lower(regexp_extract(regexp_extract(netloc, '([^@]*)$', 1), '^([^:]*)', 1)) AS host, regexp_extract(netloc, ':([0-9]+)$', 1) AS port, list_filter(string_split(query, '&'), lambda p: p <> '') AS pairs FROM cut),
+    labelled AS (SELECT *, {_BARE} AS v FROM hosted),
+    sited AS (SELECT *, CASE WHEN len(v) <= 2 THEN array_to_string(v, '.') WHEN list_contains({_list(M.MULTI_PART_SUFFIXES)}, array_to_string(v[-2:], '.')) THEN array_to_string(v[-3:], '.') ELSE array_to_string(v[-2:], '.') END AS rd FROM labelled),
+    ended AS (SELECT *, CASE WHEN len(string_split(rd, '.')) >= 3 AND list_contains({_list(M.MULTI_PART_SUFFIXES)}, array_to_string(string_split(rd, '.')[-2:], '.')) THEN array_to_string(string_split(rd, '.')[-2:], '.') ELSE string_split(rd, '.')[-1] END AS suffix FROM sited),
+    split AS (
+        SELECT *, CASE WHEN suffix <> '' AND ends_with(rd, '.' || suffix) THEN left(rd, length(rd) - length(suffix) - 1) ELSE rd END AS label, CASE WHEN rd <> '' AND ends_with(host, rd) AND host <> rd THEN left(host, greatest(0, length(host) - length(rd) - 1)) ELSE '' END AS sub,
+               list_contains({_list(M.OFFICIAL_DOMAINS)}, rd) AS official, lower(path || '?' || query) AS pq, list_transform(pairs, lambda p: lower(url_decode(regexp_extract(p, '^([^=]*)', 1)))) AS keys,
+               lower(regexp_extract(path, '\\.([A-Za-z0-9]{{2,5}})(?:$|[?#])', 1)) AS ext FROM ended),
+    flattened AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS flat, regexp_replace(sub, '[^a-z0-9]', '', 'g') AS flat_sub FROM split),
+    near AS (SELECT *, CASE WHEN flat = '' THEN 4 ELSE least(4, list_min(list_transform({_LABELS}, lambda b: levenshtein(flat, b)))) END AS distance FROM flattened)
+    SELECT page_id, {", ".join(f"CAST({_FEATURES[n]} AS DOUBLE) AS {n}" for n in M.URL_FEATURES)} FROM near"""
