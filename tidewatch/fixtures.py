@@ -44,6 +44,10 @@ MAILS = (
     "From: CEO Office <boss@gmail.com>\nTo: undisclosed-recipients:;\nX-Mailer: PHPMailer 6\nSubject: urgent\n\n",
     "From: news@mailinator.com\nReturn-Path: <bounce@lists.example.net>\nSubject: Fwd: offer\nReferences: <1@x>\n\n",
     "From: Google <no-reply@google.com>\nAuthentication-Results: mx; spf=pass; dkim=pass\nSubject: notice\n folded line\n\n",
+    "From: \"PayPal Team\" <paypal.team@yahoo.com>\nReply-To: paypal.team@yahoo.com\nAuthentication-Results: mx; spf=softfail; dkim=pass; dmarc=none\nSubject: FWD: refund\nIn-Reply-To: <2@y>\n\n",
+    "From: docs@python.org\nTo: Undisclosed recipients\nSubject: release\nX-Mailer: MassMailer\n\n",
+    "From: Payroll Office <pay@gooogle.com>\nReturn-Path: <pay@gooogle.com>\nAuthentication-Results: mx; spf=none; dkim=none\nSubject: salary\n\n",
+    "Subject: no sender at all\nTo: someone@example.org\n\n",
 )
 
 

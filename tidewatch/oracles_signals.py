@@ -235,3 +235,67 @@ SIGNAL_SQL["url_model_features"] = f"""
     flattened AS (SELECT *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS flat, regexp_replace(sub, '[^a-z0-9]', '', 'g') AS flat_sub FROM split),
     near AS (SELECT *, CASE WHEN flat = '' THEN 4 ELSE least(4, list_min(list_transform({_LABELS}, lambda b: levenshtein(flat, b)))) END AS distance FROM flattened)
     SELECT page_id, {", ".join(f"CAST({_FEATURES[n]} AS DOUBLE) AS {n}" for n in M.URL_FEATURES)} FROM near"""
+
+
+def _header(name: str) -> str:
+    return f"nullif(trim(regexp_extract(head, '(?im)^{name}:(.*)$', 1)), '')"
+
+
+_ANGLED = r"^(.*?)<\s*([^>]+?)\s*>$"
+
+
+def _mailbox(value: str) -> str:
+    return f"lower(trim(CASE WHEN regexp_matches({value}, {_lit(_ANGLED)}) THEN regexp_extract({value}, {_lit(_ANGLED)}, 2) ELSE {value} END))"
+
+
+def _domain(mailbox: str) -> str:
+    return f"CASE WHEN contains({mailbox}, '@') THEN regexp_extract({mailbox}, '([^@]*)$', 1) ELSE '' END"
+
+
+def _spoken(keywords: tuple[str, ...]) -> str:
+    words = "|".join(re.escape(k) for k in (derive.canonical(x).strip() for x in keywords) if len(k) >= 3)
+    return f"regexp_matches(plain_name, {_lit(f'(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)')})"
+
+
+_NAMED = ", ".join(f"CASE WHEN {_spoken(keywords)} THEN {_list(derive.brand_sites()[name])} END" for name, keywords, _ in K.BRANDS)
+_MARKS = ", ".join(f"{{'label': {_lit(x)}, 'most': {m}}}" for _, _, x, m in derive.brand_labels())
+_VERDICT = "pass|fail|softfail|neutral|none|permerror|temperror|bestguesspass"
+_SENDER = (
+    ("spoken IS NOT NULL AND NOT list_contains(spoken, rd)", "sender-display-spoof", "sender", 24),
+    (f"name <> '' AND regexp_matches(name, '(?i)\\b(ceo|cfo|md|director|manager|hr|principal|dean|accounts?|finance|payroll)\\b') AND list_contains({_list(K.FREE_MAIL_DOMAINS)}, rd)", "sender-exec-freemail", "bec", 22),
+    ("reply <> '' AND reply_domain <> '' AND reply_rd <> rd", "sender-replyto-mismatch", "sender", 21),
+    ("path_domain <> '' AND path_rd <> rd AND reply = ''", "sender-returnpath-mismatch", "sender", 12),
+    ("stated <> '' AND len(failed) > 0", "sender-auth-fail", "sender", "CASE WHEN list_contains(failed, 'dmarc') THEN 26 ELSE 20 END"),
+    ("stated <> '' AND len(failed) = 0 AND spf = 'pass' AND (dkim = 'pass' OR dmarc = 'pass')", "sender-auth-pass", "positive", -14),
+    ("like_kind <> ''", "sender-lookalike-domain", "sender", "CASE WHEN like_kind = 'typosquat' THEN 26 ELSE 22 END"),
+    (f"list_contains({_list(K.DISPOSABLE_MAIL_DOMAINS)}, rd)", "sender-disposable", "sender", 22),
+    (f"rd <> '' AND list_contains({_list(K.SUSPICIOUS_TLDS)}, tld)", "sender-suspicious-tld", "sender", 13),
+    ("len(claimed) > 0 AND list_contains(claimed[1], rd)", "sender-brand-verified", "positive", -20),
+    (f"len(claimed) > 0 AND NOT list_contains(claimed[1], rd) AND list_contains({_list(K.FREE_MAIL_DOMAINS)}, rd)", "sender-brand-freemail", "sender", 22),
+    (f"len(claimed) > 0 AND NOT list_contains(claimed[1], rd) AND NOT list_contains({_list(K.FREE_MAIL_DOMAINS)}, rd)", "sender-brand-mismatch", "sender", 18),
+    (f"len(claimed) = 0 AND like_kind = '' AND list_contains({_list(K.TRUSTED_DOMAINS)}, rd)", "sender-trusted-domain", "positive", -12),
+    ("regexp_matches(mailer, '(?i)\\b(php ?mailer|swiftmailer|sendblaster|mass ?mailer|bulk|turbo-?smtp)\\b')", "sender-bulk-mailer", "sender", 10),
+    ("regexp_matches(subject, '(?i)^(?:re|fwd?)\\s*:') AND refs IS NULL AND irt IS NULL", "sender-fake-thread", "sender", 14),
+    ("regexp_matches(receiver, '(?i)undisclosed[-\\s]?recipients?')", "sender-hidden-recipients", "sender", 9),
+)
+_SENT = ", ".join(f"CASE WHEN {when} THEN {{'id': '{name}', 'category': '{category}', 'weight': CAST({weight} AS INTEGER)}} END" for when, name, category, weight in _SENDER)
+SIGNAL_SQL["sender_signal_table"] = f"""
+    WITH heads AS (SELECT d.doc_id, regexp_replace(ov.head, '\\n[ \\t]+', ' ', 'g') AS head FROM documents d JOIN {fixtures.values(fixtures.MAILS, "head")} ON d.doc_id % {len(fixtures.MAILS)} = ov.k),
+    fields AS (
+        SELECT *, coalesce({_header("from")}, '') AS sender0, coalesce({_header("reply-to")}, '') AS reply0, coalesce({_header("return-path")}, '') AS path0, {_header("subject")} AS subject, {_header("x-mailer")} AS mailer, {_header("to")} AS receiver,
+               {_header("references")} AS refs, {_header("in-reply-to")} AS irt, lower(coalesce({_header("authentication-results")}, '')) AS stated FROM heads),
+    boxes AS (SELECT *, {_mailbox("sender0")} AS sender, {_mailbox("reply0")} AS reply, {_mailbox("path0")} AS path, trim(regexp_replace(trim(regexp_extract(sender0, {_lit(_ANGLED)}, 1)), '^["'']|["'']$', '', 'g')) AS name FROM fields),
+    domains AS (SELECT *, {_domain("sender")} AS domain, {_domain("reply")} AS reply_domain, {_domain("path")} AS path_domain FROM boxes),
+    sited AS (SELECT *, {registrable("domain")} AS rd, {registrable("reply_domain")} AS reply_rd, {registrable("path_domain")} AS path_rd FROM domains),
+    ended AS (SELECT *, CASE WHEN list_contains({_list(K.MULTI_PART_SUFFIXES)}, array_to_string(string_split(rd, '.')[-2:], '.')) AND len(string_split(rd, '.')) >= 3 THEN array_to_string(string_split(rd, '.')[-2:], '.') ELSE string_split(rd, '.')[-1] END AS tld FROM sited),
+    said AS (
+        SELECT *, CASE WHEN ends_with(rd, '.' || tld) THEN left(rd, length(rd) - length(tld) - 1) ELSE rd END AS label, {canonical("name")} AS plain_name, {canonical(despaced("concat_ws(' ', subject, " + _header("from") + ")"))} AS h3,
+               regexp_extract(stated, 'spf\\s*=\\s*({_VERDICT})', 1) AS spf, regexp_extract(stated, 'dkim\\s*=\\s*({_VERDICT})', 1) AS dkim, regexp_extract(stated, 'dmarc\\s*=\\s*({_VERDICT})', 1) AS dmarc FROM ended),
+    flattened AS (SELECT *, regexp_replace({canonical("label")}, '[-_.]', '', 'g') AS flat, list_filter([{_BRANDS}], lambda b: b IS NOT NULL) AS claimed, CASE WHEN name <> '' THEN list_filter([{_NAMED}], lambda b: b IS NOT NULL)[1] END AS spoken FROM said),
+    told AS (
+        SELECT *, list_filter([CASE WHEN spf IN ('fail', 'softfail', 'permerror') THEN 'spf' END, CASE WHEN dkim IN ('fail', 'softfail', 'permerror') THEN 'dkim' END, CASE WHEN dmarc IN ('fail', 'softfail', 'permerror') THEN 'dmarc' END], lambda x: x IS NOT NULL) AS failed,
+               coalesce(CASE WHEN rd <> '' AND NOT list_contains({_list(K.OFFICIAL_DOMAINS)}, rd)
+                             THEN list_filter(list_transform([{_MARKS}], lambda t: CASE WHEN contains(flat, t.label) AND flat <> t.label THEN 'embedded' WHEN levenshtein(flat, t.label) BETWEEN 1 AND t.most THEN 'typosquat' END), lambda x: x IS NOT NULL)[1] END, '') AS like_kind FROM flattened),
+    found AS (SELECT doc_id, list_filter([{_SENT}], lambda x: x IS NOT NULL) AS f FROM told WHERE sender <> ''),
+    laid AS (SELECT doc_id, unnest(f) AS t FROM found)
+    SELECT doc_id, t.id AS id, t.category AS category, t.weight AS weight FROM laid"""

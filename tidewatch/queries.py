@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
-from .functions import html, text, urls
+from .functions import html, mail, text, urls
 from .functions import knowledge as K
 from .functions import knowledge_model as M
 from .operators import models, scoring
 from .operators.signals import SIGNAL, long_table
-from .operators.text_signals import text_signals
+from .operators.page_signals import page_signals
+from .operators.sender_signals import sender_signals
+from .operators.text_signals import claimed_brands, text_signals
 from .operators.url_features import url_features
 from .operators.url_signals import url_signals
 from .plans import evaluate, history
@@ -148,6 +150,23 @@ def message_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "kind", "score", "level", "confidence", F.array_join(F.transform("risky", lambda s: s["id"]), ",").alias("risky"), F.array_join(F.transform("groups", lambda g: g["points"].cast("string")), ",").alias("groups"), F.array_join("explanation.advice", " ").alias("advice"))
 
 
+def sender_signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sender's signals of each mail's head alone; brands are claimed by its From and Subject."""
+    over = _overlay(spark, fixtures.MAILS, "head")
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    rows = docs.join(over, (F.col("doc_id") % len(fixtures.MAILS)).cast("int") == F.col("k")).select("doc_id", mail.split_mail(F.col("head"))["header_text"].alias("head"))
+    said = F.concat_ws(" ", mail.header(F.col("head"), "subject"), mail.header(F.col("head"), "from"))
+    rows = rows.withColumn("said", text.canonical(text.despaced(text.plain_blanks(said)))).withColumn("brands", claimed_brands("said"))
+    none = F.lit(None).cast("string")
+    df = sender_signals(rows, "head", none, none, none, F.col("brands"))
+    return long_table(df, "doc_id", "sender_signals").select("doc_id", "id", "category", "weight")
+
+
+def page_signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = page_signals(sites(spark, sf_dir), "html", "url")
+    return long_table(df, "page_id", "page_signals").select("page_id", "id", "category", "weight")
+
+
 def mail_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = _overlay(spark, fixtures.MAILS, "head")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -299,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         flagship, url_parse, url_signal_table, url_model_features, text_scalars, message_statistics, visible_text, link_extraction, normal_forms, canonical_forms, message_types, record_validation, tactic_table,
-        text_signal_table, message_verdicts, mail_verdicts, site_verdicts, score_core, model_signals, history_totals, history_by_type, history_trend, history_latest, history_page, history_top,
+        text_signal_table, sender_signal_table, page_signal_table, message_verdicts, mail_verdicts, site_verdicts, score_core, model_signals, history_totals, history_by_type, history_trend, history_latest, history_page, history_top,
         report_reputation, rate_limit, circuit_breaker, label_metrics, label_auc, threshold_sweep, threshold_choice, threshold_robust, latency_figures, normalized_messages, url_model, message_model,
         knowledge_tables, private_addresses,
     )
