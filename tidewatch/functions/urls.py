@@ -78,7 +78,8 @@ def parse_url(url: Column) -> Column:
     """Struct scheme, userinfo, host, port, path, query (with ?), href; null for what is no address.
 
     Without a scheme http is assumed.  The scheme's usual port is dropped, the path of web addresses is at least /,
-    blanks are escaped.  Hosts with blanks or other forbidden characters, and web addresses without a host, are none.
+    blanks are escaped.  Hosts with blanks or other forbidden characters, brackets around anything but an IPv6 address,
+    and web addresses without a host, are none.
     """
     return let(F.trim(F.regexp_replace(text_or_empty(url), "[\\t\\r\\n]", "")), lambda raw: let(_with_scheme(raw), lambda full: _parsed(raw, full)))
 
@@ -103,7 +104,7 @@ def _parsed(raw: Column, full: Column) -> Column:
     at = F.when(user == "", F.lit("")).otherwise(F.concat(user, F.lit("@")))
     colon = F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port))
     href = F.concat(scheme, F.when(opaque, F.lit(":")).otherwise(F.lit("://")), at, host, colon, path, query, part(8))
-    bad = web & ((host == "") | host.rlike(r"[\s<>^|%\\\"`{}]") | host.rlike(r"^[^\[]*[\[\]]") | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535))
+    bad = web & ((host == "") | host.rlike(r"[\s<>^|%\\\"`{}]") | (host.rlike(r"[\[\]]") & ~host.rlike(r"^\[[0-9a-f:.]+\]\z")) | (F.coalesce(port.try_cast("int"), F.lit(0)) > 65535))
     dotted = host.rlike(_IPV4) & ~host.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z")
     return F.when(
         (raw == "") | bad | (web & dotted) | ~full.rlike(_PARTS), F.lit(None).cast(PARSED)

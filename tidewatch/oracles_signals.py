@@ -12,7 +12,7 @@ from . import fixtures
 from .functions import derive
 from .functions import knowledge as K
 from .functions import knowledge_model as M
-from .oracles import _INVISIBLE, _MESSAGES, _list, _plain, canonical, despaced
+from .oracles import _HTML, _INVISIBLE, _MESSAGES, _SITES, _list, _plain, canonical, despaced
 
 _lit = fixtures.literal
 _GAP = "'" + "." * 100 + "' || chr(10)"
@@ -39,7 +39,7 @@ def _ordered(items: str) -> str:
 def registrable(host: str) -> str:
     labels = f"list_filter(string_split(regexp_replace({host}, '^www\\.', ''), '.'), lambda v: v <> '')"
     tail = lambda n: f"array_to_string({labels}[-{n}:], '.')"
-    return f"CASE WHEN regexp_matches({host}, '^([0-9]+\\.){{3}}[0-9]+$') THEN {host} WHEN len({labels}) <= 2 THEN array_to_string({labels}, '.') WHEN list_contains({_list(K.MULTI_PART_SUFFIXES)}, {tail(2)}) THEN {tail(3)} ELSE {tail(2)} END"
+    return f"CASE WHEN regexp_matches({host}, '^([0-9]+\\.){{3}}[0-9]+$') OR starts_with({host}, '[') THEN {host} WHEN len({labels}) <= 2 THEN array_to_string({labels}, '.') WHEN list_contains({_list(K.MULTI_PART_SUFFIXES)}, {tail(2)}) THEN {tail(3)} ELSE {tail(2)} END"
 
 
 _SCAN = r"""(?i)\b((?:https?://|www\.)[^\s<>"'`)\]}]+|(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\s<>"'`)\]}]*)?)"""
@@ -101,7 +101,7 @@ _URL_ROWS = f"""links AS (
         SELECT page_id, u, lower(regexp_extract(u, '^([A-Za-z0-9+.-]+):', 1)) AS scheme, NOT regexp_matches(u, '^[A-Za-z0-9+.-]+://') AS opaque, regexp_extract(u, '^[^:]*://([^/?#]*)', 1) AS authority,
                regexp_extract(u, '^[^:]*:(?://[^/?#]*)?([^?#]*)', 1) AS path0, regexp_extract(u, '^[^?#]*(\\?[^#]*)', 1) AS query0, regexp_extract(u, '(#.*)$', 1) AS hash FROM whole),
     parsed AS (
-        SELECT page_id, scheme, opaque, regexp_extract(authority, '^(.*)@', 1) AS userinfo, lower(regexp_extract(regexp_extract(authority, '([^@]*)$', 1), '^([^:]*)', 1)) AS p_host,
+        SELECT page_id, scheme, opaque, regexp_extract(authority, '^(.*)@', 1) AS userinfo, lower(regexp_extract(regexp_extract(authority, '([^@]*)$', 1), '^(\\[[^\\]]*\\]|[^:]*)', 1)) AS p_host,
                CASE WHEN (scheme = 'http' AND ends_with(authority, ':80')) OR (scheme = 'https' AND ends_with(authority, ':443')) THEN '' ELSE regexp_extract(authority, ':([0-9]+)$', 1) END AS port,
                replace(CASE WHEN scheme IN ('http', 'https') AND path0 = '' THEN '/' ELSE path0 END, ' ', '%20') AS path, replace(CASE WHEN query0 = '?' THEN '' ELSE query0 END, ' ', '%20') AS query, hash FROM cut),
     addressed AS (
@@ -126,7 +126,7 @@ _URL_SIGNALS = (
     ("scheme = 'http'", "url-no-https", "url", 8),
     ("scheme NOT IN ('http', 'https')", "url-odd-scheme", "url", 14),
     ("port NOT IN ('', '80', '443')", "url-nonstandard-port", "url", 7),
-    ("regexp_matches(host, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$')", "url-ip-host", "url", 20),
+    ("regexp_matches(host, '^([0-9]{1,3}\\.){3}[0-9]{1,3}$') OR regexp_matches(host, '^\\[[0-9a-f:]+\\]$')", "url-ip-host", "url", 20),
     ("regexp_matches(p_host, '[^\\x00-\\x7f]') OR regexp_matches(p_host, '(^|\\.)xn--')", "url-homograph", "domain", 15),
     ("userinfo <> '' OR regexp_matches(regexp_replace(href, '^https?://', ''), '^[^/]*@')", "url-userinfo", "url", 22),
     (f"list_contains({_list(K.URL_SHORTENERS)}, rd) OR list_contains({_list(K.URL_SHORTENERS)}, host)", "url-shortener", "url", 16),
@@ -172,7 +172,9 @@ SIGNAL_SQL: dict[str, str] = {
         SELECT doc_id, id, category, CAST(weight AS INTEGER) AS weight FROM laid""",
     "url_signal_table": f"""
         WITH {_URL_ROWS},
-        found AS (SELECT page_id, scheme, trusted, list_filter([{_URL_FOUND}], lambda x: x IS NOT NULL) AS f FROM told),
+        found AS (
+            SELECT page_id, scheme, trusted, CASE WHEN scheme IN ('http', 'https') AND (p_host = '' OR regexp_matches(p_host, '[\\s<>^|%"`{{}}]')) THEN [{{'id': 'url-unparseable', 'category': 'url', 'weight': CAST(6 AS INTEGER)}}]
+                                                  ELSE list_filter([{_URL_FOUND}], lambda x: x IS NOT NULL) END AS f FROM told),
         complete AS (SELECT page_id, CASE WHEN len(f) = 0 AND scheme = 'https' AND NOT trusted THEN [{{'id': 'url-clean', 'category': 'positive', 'weight': CAST(-6 AS INTEGER)}}] ELSE f END AS f FROM found),
         weighed AS (SELECT page_id, CASE WHEN len(list_filter(f, lambda x: x.weight >= 14)) > 0 THEN list_filter(f, lambda x: x.category <> 'positive') ELSE f END AS f FROM complete),
         laid AS (SELECT page_id, unnest(f) AS t FROM weighed)
@@ -299,3 +301,98 @@ SIGNAL_SQL["sender_signal_table"] = f"""
     found AS (SELECT doc_id, list_filter([{_SENT}], lambda x: x IS NOT NULL) AS f FROM told WHERE sender <> ''),
     laid AS (SELECT doc_id, unnest(f) AS t FROM found)
     SELECT doc_id, t.id AS id, t.category AS category, t.weight AS weight FROM laid"""
+
+
+def _attribute(tag: str, name: str) -> str:
+    pattern = _lit(rf"""(?i){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+    return f"CASE WHEN regexp_matches({tag}, {pattern}) THEN trim(regexp_extract({tag}, {pattern}, 1) || regexp_extract({tag}, {pattern}, 2) || regexp_extract({tag}, {pattern}, 3)) END"
+
+
+def _inputs(html: str) -> str:
+    tag = f"lower(coalesce(nullif({_attribute('t', 'type')}, ''), 'text'))"
+    name = f"lower(coalesce(nullif({_attribute('t', 'name')}, ''), {_attribute('t', 'id')}, ''))"
+    return f"list_transform(regexp_extract_all({html}, '(?i)<input\\b[^>]*>'), lambda t: {{'type': {tag}, 'name': {name}}})"
+
+
+def _absolute(href: str) -> str:
+    """The address that a non-empty href stands for on the page."""
+    return (
+        f"CASE WHEN {href} IS NULL OR {href} = '' THEN NULL WHEN regexp_matches({href}, '(?i)^[a-z][a-z0-9+.-]*:') THEN {href} WHEN starts_with({href}, '//') THEN scheme || ':' || {href} WHEN starts_with({href}, '/') THEN root || {href} "
+        f"WHEN starts_with({href}, '#') THEN url || {href} WHEN starts_with({href}, '?') THEN root || path || {href} ELSE root || regexp_replace(path, '[^/]*$', '') || {href} END"
+    )
+
+
+_HOST_OF = lambda u: f"lower(regexp_extract({u}, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_ANCHOR = _lit(r"""(?i)<a\b[^>]*href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)[^>]*>([\s\S]*?)</a>""")
+_SECRET = "(i.type = 'password' OR regexp_matches(i.name, '" + "|".join(K.CREDENTIAL_FIELD_NAMES) + "'))"
+_LIKENESS = ", ".join(
+    f"CASE WHEN (len(list_filter({_list([derive.canonical(k).strip() for k in ks])}, lambda w: contains(plain_title, w))) > 0 OR len(list_filter({_list([derive.canonical(k).strip() for k in ks])}, lambda w: contains(plain_body, w))) >= 2) "
+    f"AND NOT list_contains({_list(derive.brand_sites()[name])}, rd) THEN {{'in_title': len(list_filter({_list([derive.canonical(k).strip() for k in ks])}, lambda w: contains(plain_title, w))) > 0}} END"
+    for name, ks, _ in K.BRANDS
+)
+_ENTER = r"(?i)\b(sign in|log ?in|login|username|password|continue to your account|account login|net ?banking|internet banking|user id)\b"
+_TAKEN_TO = r"(?i)(?:formspree|jotform|getform|sheetdb|script\.google\.com|api\.telegram\.org|discord(?:app)?\.com/api/webhooks|pipedream|requestbin|webhook\.site|ngrok)"
+_ALARMING = r"(?i)\b(your (account|session) (has been|is) (locked|suspended|limited|disabled)|verify (your )?(identity|account) (now|immediately)|unusual (sign[-\s]?in|activity) detected|re-?confirm your (details|information))\b"
+_LEGAL = r"(?i)\b(privacy policy|terms of (use|service)|about us|contact us|customer care|helpline)\b"
+_NO_MENU = r"""(?i)document\.addEventListener\s*\(\s*['"]contextmenu['"][\s\S]{0,80}preventDefault|oncontextmenu\s*=\s*["']?return false"""
+_NO_PASTE = r"(?i)\b(?:on)?(?:paste|copy)\b[\s\S]{0,60}preventDefault"
+_SENT_OUT = r"(?i)\b(?:api\.telegram\.org|sendMessage\?chat_id|discord(?:app)?\.com/api/webhooks)\b"
+_MOVED = r"""(?i)window\.(?:location|open)\s*=?\s*\(?['"]https?://"""
+_SECRET_CODE = r"(?i)\b(enter (your )?(otp|one[-\s]?time password)|otp sent to your (mobile|registered))\b"
+_any = lambda items, test: f"len(list_filter({items}, {test})) > 0"
+_PAGE = (
+    ("login", "page-login-form", "page", 6),
+    ("login AND scheme <> 'https'", "page-insecure-login", "credential-theft", 26),
+    (_any("secret_forms", "lambda f: f.action IS NULL OR regexp_matches(f.action, '(?i)^#|^javascript:')"), "page-form-script-handler", "page", 9),
+    (_any("secret_forms", "lambda f: f.host <> '' AND f.site <> rd"), "page-cross-domain-post", "credential-theft", 28),
+    ("scheme = 'https' AND " + _any("secret_forms", "lambda f: starts_with(lower(f.target), 'http://')"), "page-downgrade-post", "credential-theft", 24),
+    (_any("secret_forms", f"lambda f: regexp_matches(regexp_replace(f.target, '^[A-Za-z]+://', ''), {_lit('(?i)^[^?#]*' + _TAKEN_TO[4:])})"), "page-exfil-endpoint", "credential-theft", 30),
+    (_any("secret_forms", "lambda f: f.method = 'get' AND len(list_filter(f.inputs, lambda i: i.type = 'password')) > 0"), "page-password-in-url", "credential-theft", 18),
+    ("fake IS NOT NULL AND (login OR fake.in_title)", "page-brand-impersonation", "domain", "CASE WHEN login THEN 27 ELSE 16 END"),
+    (f"NOT official AND {_any('assets', f'lambda a: a <> rd AND list_contains({_list(K.OFFICIAL_DOMAINS)}, a)')}", "page-hotlinked-brand-assets", "domain", 17),
+    ("len(regexp_extract_all(js, '\\b(eval|Function\\s*\\(|atob|unescape|decodeURIComponent\\s*\\(\\s*escape)\\b')) >= 3 OR regexp_matches(js, '(?i)(?:\\\\x[0-9a-f]{2}){12,}|(?:%[0-9a-f]{2}){20,}')", "page-obfuscated-script", "page", 15),
+    (f"has_js AND regexp_matches(js || ' ' || html, {_lit(_NO_MENU)})", "page-right-click-blocked", "page", 11),
+    (f"has_js AND regexp_matches(js, {_lit(_NO_PASTE)})", "page-paste-blocked", "page", 12),
+    (f"has_js AND regexp_matches(js, {_lit(_SENT_OUT)})", "page-telegram-exfil", "credential-theft", 30),
+    (f"has_js AND login AND regexp_matches(js, {_lit(_MOVED)})", "page-auto-redirect", "page", 8),
+    (_any("frames", "lambda f: f.hidden AND f.src IS NOT NULL"), "page-hidden-iframe", "page", 16),
+    ("login AND " + _any("frames", "lambda f: NOT f.hidden AND f.src IS NOT NULL AND f.site <> rd"), "page-framed-login", "page", 12),
+    ("login AND " + _any("form_inputs", "lambda i: i.type = 'hidden' AND regexp_matches(i.name, 'email|mail|user|id|target|victim|bot|chat')"), "page-hidden-target-field", "page", 13),
+    ("login AND len(anchors) >= 4 AND 10 * len(list_filter(anchors, lambda a: regexp_matches(a, '^#$|^javascript:void'))) > 6 * len(anchors)", "page-dead-navigation", "page", 12),
+    ("login AND length(html) BETWEEN 1 AND 2499 AND NOT trusted", "page-thin-clone", "page", 10),
+    (f"login AND NOT trusted AND NOT regexp_matches(body, {_lit(_LEGAL)})", "page-no-legal-pages", "page", 8),
+    (f"regexp_matches(body, {_lit(_ALARMING)})", "page-alarming-copy", "social-engineering", 13),
+    (f"NOT official AND regexp_matches(body, {_lit(_SECRET_CODE)})", "page-otp-capture", "credential-theft", 24),
+    ("official", "page-official-domain", "positive", -22),
+    ("trusted AND NOT official", "page-trusted-domain", "positive", -14),
+)
+_SEEN = ", ".join(f"CASE WHEN {when} THEN {{'id': '{name}', 'category': '{category}', 'weight': CAST({weight} AS INTEGER)}} END" for when, name, category, weight in _PAGE)
+_OPENED = "regexp_extract(f, '(?i)<form\\b[^>]*>')"
+SIGNAL_SQL["page_signal_table"] = f"""
+    WITH {_SITES},
+    placed AS (SELECT page_id, html, CASE page_id % 7 WHEN 3 THEN 'https://www.google.com/a/b' WHEN 5 THEN 'https://docs.python.org/b' ELSE url END AS url FROM sites),
+    based AS (
+        SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS root, coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path,
+               regexp_replace({_HOST_OF("url")}, '^www\\.', '') AS host FROM placed),
+    sited AS (SELECT *, {registrable("host")} AS rd, {_plain(_HTML)} AS body, left(trim(regexp_replace({_plain("regexp_extract(html, '(?i)<title[^>]*>([\\s\\S]*?)</title>', 1)")}, '\\s+', ' ', 'g')), 200) AS title FROM based),
+    read AS (
+        SELECT *, list_contains({_list(K.OFFICIAL_DOMAINS)}, rd) AS official, list_contains({_list(K.TRUSTED_DOMAINS)}, rd) AS trusted, {canonical("body")} AS plain_body, {canonical("title")} AS plain_title,
+               array_to_string(regexp_extract_all(html, '(?i)<script\\b[^>]*>([\\s\\S]*?)</script>', 1), chr(10)) AS js, {_inputs("html")} AS all_inputs,
+               list_filter(list_transform(regexp_extract_all(html, {_ANCHOR}), lambda t: {_attribute("t", "href")}), lambda h: h IS NOT NULL AND h <> '') AS anchors,
+               list_transform(regexp_extract_all(html, '(?i)<form\\b[^>]*>[\\s\\S]*?</form>'), lambda f: {{'opened': {_OPENED}, 'inputs': {_inputs("regexp_extract(f, '(?i)<form" + chr(92) + "b[^>]*>([" + chr(92) + "s" + chr(92) + "S]*?)</form>', 1)")}}}) AS forms0,
+               list_transform(regexp_extract_all(html, '(?i)<img\\b[^>]*>'), lambda t: {_attribute("t", "src")}) AS images,
+               list_transform(regexp_extract_all(html, '(?i)<iframe\\b[^>]*>'), lambda t: {{'src': {_attribute("t", "src")},
+                   'hidden': regexp_matches(coalesce({_attribute("t", "style")}, ''), '(?i)display\\s*:\\s*none|visibility\\s*:\\s*hidden|opacity\\s*:\\s*0') OR coalesce({_attribute("t", "width")}, '') IN ('0', '1') OR coalesce({_attribute("t", "height")}, '') IN ('0', '1')}}) AS frames0 FROM sited),
+    aimed AS (
+        SELECT *, list_transform(forms0, lambda f: {{'action': nullif({_attribute("f.opened", "action")}, ''), 'method': lower(coalesce(nullif({_attribute("f.opened", "method")}, ''), 'get')), 'inputs': f.inputs}}) AS forms1, flatten(list_transform(forms0, lambda f: f.inputs)) AS form_inputs,
+               list_transform(images, lambda s: {_absolute("s")}) AS pictures, list_transform(frames0, lambda f: {{'src': {_absolute("f.src")}, 'hidden': f.hidden}}) AS frames1, regexp_matches(js, '[^\\n]') AS has_js FROM read),
+    targeted AS (SELECT *, list_transform(list_filter(forms1, lambda f: len(list_filter(f.inputs, lambda i: {_SECRET})) > 0), lambda f: {{'action': f.action, 'method': f.method, 'inputs': f.inputs, 'target': coalesce({_absolute("f.action")}, url)}}) AS forms2 FROM aimed),
+    hosted AS (SELECT *, list_transform(forms2, lambda f: {{'action': f.action, 'method': f.method, 'inputs': f.inputs, 'target': f.target, 'host': {_HOST_OF("f.target")}}}) AS forms3 FROM targeted),
+    facts AS (
+        SELECT *, list_transform(forms3, lambda f: {{'action': f.action, 'method': f.method, 'inputs': f.inputs, 'target': f.target, 'host': f.host, 'site': {registrable("f.host")}}}) AS secret_forms,
+               list_transform(list_filter(pictures, lambda s: s IS NOT NULL), lambda s: {registrable(_HOST_OF("s"))}) AS assets, list_transform(frames1, lambda f: {{'src': f.src, 'hidden': f.hidden, 'site': {registrable(_HOST_OF("coalesce(f.src, '')"))}}}) AS frames,
+               len(list_filter(all_inputs, lambda i: i.type = 'password')) > 0 OR (regexp_matches(body, {_lit(_ENTER)}) AND len(all_inputs) + len(form_inputs) >= 2) AS login, list_filter([{_LIKENESS}], lambda b: b IS NOT NULL)[1] AS fake FROM hosted),
+    found AS (SELECT page_id, scheme, login, list_filter([{_SEEN}], lambda x: x IS NOT NULL) AS f FROM facts),
+    complete AS (SELECT page_id, CASE WHEN scheme = 'https' AND login AND len(list_filter(f, lambda x: x.weight >= 20)) = 0 THEN list_append(f, {{'id': 'page-https-login', 'category': 'positive', 'weight': CAST(-5 AS INTEGER)}}) ELSE f END AS f FROM found),
+    laid AS (SELECT page_id, unnest(f) AS t FROM complete)
+    SELECT page_id, t.id AS id, t.category AS category, t.weight AS weight FROM laid"""
