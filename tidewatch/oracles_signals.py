@@ -12,7 +12,7 @@ from . import fixtures
 from .functions import derive
 from .functions import knowledge as K
 from .functions import knowledge_model as M
-from .oracles import _HTML, _INVISIBLE, _MESSAGES, _SITES, _list, _plain, canonical, despaced
+from .oracles import _HTML, _INVISIBLE, _MESSAGES, _SITES, _list, _plain, _scores, canonical, despaced
 
 _lit = fixtures.literal
 _GAP = "'" + "." * 100 + "' || chr(10)"
@@ -396,3 +396,47 @@ SIGNAL_SQL["page_signal_table"] = f"""
     complete AS (SELECT page_id, CASE WHEN scheme = 'https' AND login AND len(list_filter(f, lambda x: x.weight >= 20)) = 0 THEN list_append(f, {{'id': 'page-https-login', 'category': 'positive', 'weight': CAST(-5 AS INTEGER)}}) ELSE f END AS f FROM found),
     laid AS (SELECT page_id, unnest(f) AS t FROM complete)
     SELECT page_id, t.id AS id, t.category AS category, t.weight AS weight FROM laid"""
+
+
+_CLAIM = ("first_sites IS NOT NULL AND NOT list_contains(first_sites, rd)", "url-brand-mismatch", "domain", 20)
+_AT = next(i for i, s in enumerate(_URL_SIGNALS) if s[1] == "url-credential-path")
+_URL_CLAIMED = ", ".join(f"CASE WHEN {when} THEN {{'id': '{name}', 'category': '{category}', 'weight': CAST({weight} AS INTEGER)}} END" for when, name, category, weight in (*_URL_SIGNALS[:_AT], _CLAIM, *_URL_SIGNALS[_AT:]))
+_GROUPS = " || ',' || ".join(f"coalesce(sum(weight) FILTER (WHERE weight > 0 AND category IN ({', '.join(map(_lit, categories))})), 0)" for _, categories in K.FEATURE_GROUPS)
+_KIND = SIGNAL_SQL["message_types"]
+SIGNAL_SQL["message_scores"] = f"""
+    WITH {_PLAIN}, {_LINKS}, {_FORMS},
+    counted AS (
+        SELECT *, len(list_filter(string_split_regex(h3, '\\s+'), lambda w: w <> '')) AS words, regexp_replace(h0, '[^A-Za-z]', '', 'g') AS az,
+               list_filter(list_transform(list_transform(urls, lambda u: {_HOST}), lambda h: {registrable("h")}), lambda s: s <> '') AS sites, list_filter([{_BRANDS}], lambda b: b IS NOT NULL) AS claimed FROM tactical),
+    written AS (SELECT doc_id, claimed, urls, tactics, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS f FROM counted),
+    text_signals AS (
+        SELECT doc_id, generate_subscripts(tactics, 1) AS ord, 'tactic-' || unnest(tactics).id AS id, unnest(tactics).category AS category, unnest(tactics).weight AS weight FROM written
+        UNION ALL SELECT doc_id, 100 + generate_subscripts(f, 1), unnest(f).id, unnest(f).category, unnest(f).weight FROM written),
+    links AS (SELECT doc_id * 100 + generate_subscripts(urls[:12], 1) AS page_id, unnest(urls[:12]) AS url FROM written),
+    {_URL_ROWS[_URL_ROWS.index("whole AS") :]},
+    judged AS (SELECT t.*, w.claimed[1] AS first_sites FROM told t JOIN written w ON w.doc_id = t.page_id // 100),
+    each_link AS (
+        SELECT page_id, scheme, trusted, CASE WHEN scheme IN ('http', 'https') AND (p_host = '' OR regexp_matches(p_host, '[\\s<>^|%"`{{}}]')) THEN [{{'id': 'url-unparseable', 'category': 'url', 'weight': CAST(6 AS INTEGER)}}]
+                                              ELSE list_filter([{_URL_CLAIMED}], lambda x: x IS NOT NULL) END AS f FROM judged),
+    completed AS (SELECT page_id, CASE WHEN len(f) = 0 AND scheme = 'https' AND NOT trusted THEN [{{'id': 'url-clean', 'category': 'positive', 'weight': CAST(-6 AS INTEGER)}}] ELSE f END AS f FROM each_link),
+    strewn AS (SELECT page_id // 100 AS doc_id, 1000 + page_id % 100 * 100 + generate_subscripts(f, 1) AS ord, unnest(f).id AS id, unnest(f).category AS category, unnest(f).weight AS weight FROM completed),
+    firmest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY abs(weight) DESC, ord) AS r FROM strewn) WHERE r = 1),
+    grave AS (SELECT doc_id, max(weight) AS most FROM firmest GROUP BY doc_id),
+    link_signals AS (SELECT f.doc_id, f.ord, f.id, f.category, f.weight FROM firmest f JOIN grave g ON f.doc_id = g.doc_id WHERE f.category <> 'positive' OR g.most < 14),
+    signals AS (SELECT * FROM text_signals UNION ALL SELECT * FROM link_signals),
+    {_scores("signals", "doc_id")},
+    rows AS (
+        SELECT s.doc_id, string_agg(id, ',' ORDER BY weight DESC, ord) FILTER (WHERE weight > 0) AS risky_ids, {_GROUPS} AS points FROM signals s GROUP BY s.doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, weight > 0 ORDER BY abs(weight) DESC, ord) AS place FROM signals WHERE weight <> 0),
+    told_of AS (
+        SELECT doc_id, string_agg(CASE WHEN weight >= 22 THEN 'critical' WHEN weight >= 14 THEN 'high' WHEN weight >= 8 THEN 'moderate' ELSE 'low' END, ',' ORDER BY place) FILTER (WHERE weight > 0 AND place <= 8) AS severities,
+               string_agg(id, ',' ORDER BY place) FILTER (WHERE weight < 0 AND place <= 5) AS trusts FROM ranked GROUP BY doc_id),
+    kinds_of AS ({_KIND}),
+    scored AS (
+        SELECT w.doc_id, k.kind, coalesce(s.score, 0) AS score, coalesce(s.risky, 0) AS risky, coalesce(s.positives, 0) AS positives, coalesce(s.categories, 0) AS categories, coalesce(s.net, 0)::DOUBLE AS net, r.risky_ids, r.points, t.severities, t.trusts, least(12, len(w.urls)) AS n_links
+        FROM written w JOIN kinds_of k ON w.doc_id = k.doc_id LEFT JOIN scores s ON w.doc_id = s.doc_id LEFT JOIN rows r ON w.doc_id = r.doc_id LEFT JOIN told_of t ON w.doc_id = t.doc_id),
+    sure AS (
+        SELECT *, CASE WHEN risky = 0 THEN 0.62::DOUBLE + least(0.14::DOUBLE, positives * 0.05::DOUBLE)
+                       ELSE 0.5::DOUBLE + least(0.28::DOUBLE, categories * 0.07::DOUBLE) + least(0.2::DOUBLE, net / 250) - CASE WHEN score BETWEEN 35 AND 62 THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END END AS c FROM scored)
+    SELECT doc_id, kind, CAST(score AS BIGINT) AS score, CASE WHEN score <= 30 THEN 'low' WHEN score <= 70 THEN 'medium' ELSE 'high' END AS level, floor(least(0.97::DOUBLE, greatest(0.35::DOUBLE, c)) * 100 + 0.5::DOUBLE) / 100 AS confidence,
+           coalesce(risky_ids, '') AS risky, coalesce(severities, '') AS severities, coalesce(trusts, '') AS trust, coalesce(points, '{",".join("0" * len(K.FEATURE_GROUPS))}') AS group_points, CAST(n_links AS BIGINT) AS n_links FROM sure"""

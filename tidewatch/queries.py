@@ -150,6 +150,17 @@ def message_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "kind", "score", "level", "confidence", F.array_join(F.transform("risky", lambda s: s["id"]), ",").alias("risky"), F.array_join(F.transform("groups", lambda g: g["points"].cast("string")), ",").alias("groups"), F.array_join("explanation.advice", " ").alias("advice"))
 
 
+def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each message in ids and numbers: score, level, confidence, risky signals and how grave the first
+    ones are, signs of trust, points by feature group."""
+    df = analyze(messages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")))
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return df.select(
+        "doc_id", "kind", F.col("score").cast("bigint").alias("score"), "level", "confidence", joined("risky", lambda s: s["id"]).alias("risky"), joined("explanation.reasons", lambda r: r["severity"]).alias("severities"),
+        F.array_join("explanation.trust", ",").alias("trust"), joined("groups", lambda g: g["points"].cast("string")).alias("group_points"), F.size("url_results").cast("bigint").alias("n_links"),
+    )
+
+
 def sender_signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sender's signals of each mail's head alone; brands are claimed by its From and Subject."""
     over = _overlay(spark, fixtures.MAILS, "head")
@@ -321,7 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         flagship, url_parse, url_signal_table, url_model_features, text_scalars, message_statistics, visible_text, link_extraction, normal_forms, canonical_forms, message_types, record_validation, tactic_table,
-        text_signal_table, sender_signal_table, page_signal_table, message_verdicts, mail_verdicts, site_verdicts, score_core, model_signals, history_totals, history_by_type, history_trend, history_latest, history_page, history_top,
+        text_signal_table, message_scores, sender_signal_table, page_signal_table, message_verdicts, mail_verdicts, site_verdicts, score_core, model_signals, history_totals, history_by_type, history_trend, history_latest, history_page, history_top,
         report_reputation, rate_limit, circuit_breaker, label_metrics, label_auc, threshold_sweep, threshold_choice, threshold_robust, latency_figures, normalized_messages, url_model, message_model,
         knowledge_tables, private_addresses,
     )
