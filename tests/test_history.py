@@ -152,3 +152,17 @@ def test_split_and_cross_validation(spark):
     held = evaluate.stratified_split(df, "y", "k").where("held_out").groupBy("y").count().collect()
     assert all(150 < r["count"] < 250 for r in held)
     assert evaluate.cross_validated(df, "y", "k", lambda train: lambda test: test.withColumn("predicted", F.col("k") % 2)).first()["f1_mean"] == 1.0
+
+
+def test_kept_history_stays_bounded(spark, tmp_path):
+    schema = "id long, t timestamp"
+    for i in range(4):
+        spark.createDataFrame([(10 * i + k, at(10 * i + k)) for k in range(5)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = live.keep_latest(stream, f"{tmp_path}/kept", "t", 7, f"{tmp_path}/check", "id")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert {r["id"] for r in live.kept(spark, f"{tmp_path}/kept").collect()} == {33 - 10, 24, *range(30, 35)}
+    assert len(list((tmp_path / "kept").glob("batch=*"))) == 2

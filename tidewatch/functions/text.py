@@ -161,7 +161,9 @@ def fnv1a(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(2166136261).cast("long"), step)), 8, "0"))
 
 
-_SCAN = r"\b((?:https?://|www\.)[^\s<>\"'`)\]}]+|(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?:/[^\s<>\"'`)\]}]*)?)"
+# Fixed value: what counts as a link in a text.  Labels of a host take all letters at once and give none back, as going
+# back takes long on runs of letters without a dot.
+_SCAN = r"\b((?:https?://|www\.)[^\s<>\"'`)\]}]+|(?:[a-z0-9][a-z0-9-]*+(?<!-)\.)+[a-z]{2,24}(?:/[^\s<>\"'`)\]}]*)?)"
 
 
 def urls_in(c: Column) -> Column:
@@ -171,8 +173,8 @@ def urls_in(c: Column) -> Column:
     text = rx.replace(text, r"hxxp(s?)://", "http$1://")
     text = F.regexp_replace(F.regexp_replace(text, r"\[\s*\.\s*\]", "."), r"\(\s*\.\s*\)", ".")
     text = rx.replace(text, r"\s+dot\s+", ".")
-    # the greedy host group backtracks badly on long runs of letters without a dot; most texts have no dot-letter pair
-    some = F.when(text.rlike(r"(?i)https?://|www\.|[a-z0-9]\.[a-z]{2}"), rx.extract_all(text, _SCAN.replace("(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+", "(?:[a-z0-9][a-z0-9-]*+(?<!-)\\.)+"), 1))
+    # most texts have no dot-letter pair
+    some = F.when(text.rlike(r"(?i)https?://|www\.|[a-z0-9]\.[a-z]{2}"), rx.extract_all(text, _SCAN, 1))
     clean = F.transform(F.coalesce(some, F.array().cast("array<string>")), lambda u: F.regexp_replace(u, r"[.,;:!?'\")\]]+\z", ""))
     full = lambda u: u.rlike("(?i)^https?://")
     kept = F.filter(clean, lambda u: full(u) | u.rlike(r"(?i)^www\.") | u.rlike(r"(?i)^[a-z0-9-]+\.[a-z]{2,24}(?:[/:?#]|\z)"))

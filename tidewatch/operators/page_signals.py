@@ -10,6 +10,7 @@ from ..functions import knowledge as K
 from ..functions.text import among
 from .signals import gathered, no_signals, signal
 
+# The patterns that signals of pages depend on, here and in the calls below.
 _LOGIN = r"\b(sign in|log ?in|login|username|password|continue to your account|account login|net ?banking|internet banking|user id)\b"
 _CAPTURE = r"(?:formspree|jotform|getform|sheetdb|script\.google\.com|api\.telegram\.org|discord(?:app)?\.com/api/webhooks|pipedream|requestbin|webhook\.site|ngrok)"
 _ALARM = r"\b(your (account|session) (has been|is) (locked|suspended|limited|disabled)|verify (your )?(identity|account) (now|immediately)|unusual (sign[-\s]?in|activity) detected|re-?confirm your (details|information))\b"
