@@ -31,13 +31,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of few files dealt to all cores: to analyse a text takes milliseconds, far more than to move it.  Tables of
+    as many files as there are cores, or more, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _overlay(spark: SparkSession, rows: tuple[str, ...], column: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(rows)), f"k int, {column} string"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: every document with a snippet in front."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     over = _overlay(spark, fixtures.TEXTS, "snippet")
     return docs.join(over, (F.col("doc_id") % len(fixtures.TEXTS)).cast("int") == F.col("k")).select("doc_id", F.concat("snippet", F.lit(" "), "text").alias("content"))
 
@@ -52,7 +59,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, html: every page with a fragment before the last end of its body, or after all where there is none."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = _spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     over = _overlay(spark, fixtures.PAGES, "fragment")
     return pages.join(over, (F.col("page_id") % len(fixtures.PAGES)).cast("int") == F.col("k")).select("page_id", "url", F.concat(F.regexp_extract("html", _BODY, 1), "fragment", F.regexp_extract("html", _BODY, 2)).alias("html"))
 
@@ -183,7 +190,7 @@ def page_signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = _overlay(spark, fixtures.MAILS, "head")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.join(over, (F.col("doc_id") % len(fixtures.MAILS)).cast("int") == F.col("k")).select("doc_id", F.concat("head", "text").alias("content"))
     df = analyze(rows)
     return df.select("doc_id", "kind", "score", "level", F.array_join(F.transform("sender_signals", lambda s: s["id"]), ",").alias("sender_signals"), "sender.address", "sender.spf", "sender.dmarc")
