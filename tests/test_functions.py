@@ -93,3 +93,20 @@ def test_normal_forms_read_whole_contents(spark, tmp_path):
         bits = -sum(k / len(content) * math.log2(k / len(content)) for k in Counter(content).values())
         assert got[i][0] == f"{h:08x}" and abs(got[i][1] - bits) < 1e-6
     assert len({x for x, _ in got.values()}) == len(texts)
+
+
+def test_one_pass_finds_the_words_that_many_would(spark):
+    words = ["act", "action", "tion", "24", " vi ", "api.what", "don't", "ion x"]
+    texts = ["an action x", "acts at 24", "a vi b api.whatsapp", "don't", "apixwhat", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", F.expr(rx.digest("t", words)).alias("d"))
+    for r in df.collect():
+        assert [w in r["d"] for w in words] == [w in r["t"] for w in words]
+
+
+def test_classes_spelled_out_match_as_ranges_do(spark):
+    every = "".join(map(chr, range(1, 0x250)))
+    for pattern in (r"[\s._*-]", r"[^\s<>\"'`)\]}]", "[A-Fa-f0-3]", "[^A-Za-z]", r"[\d\w-]", "[à-ÿ]"):
+        spelled = rx.java(pattern, False)
+        assert r"\s" not in spelled and "A-" not in spelled
+        got = spark.range(1).select(*[F.array_join(F.regexp_extract_all(F.lit(every), F.lit(p), F.lit(0)), "").alias(n) for n, p in (("a", pattern), ("b", spelled))]).first()
+        assert got["a"] == got["b"]
