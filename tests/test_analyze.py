@@ -98,3 +98,35 @@ def test_links_are_ranked_by_points(spark):
 def test_repeated_grams_count(spark):
     got = spark.sql("SELECT 'banana' AS n").select(models.terms(F.col("n"))).first()[0]
     assert got.count("c:ana") == 2 and got.count("c: ba") == 1 and "c:a " not in got
+
+
+ODD_TEXTS = [
+    None, "", " \t\n", "v e r i f y your p.a.s.s.w.o.r.d at hxxps://login-check[.]xyz/secure, or www dot bad dot example", "Your аccount at Pаypаl: ​ver​ify within 24 hours or it will be suspended Ａﬁ",
+    "PAY NOW!!! ſhare this message with 10 friends; call +44 20 7946 0958 or (0123) 4567890, mail A.B@Example.ORG and a.b@example.org", "verif1ed acc0unt p4ssword À la carte ¿qué? café\x0bwithin\x0b2\x0bhours or else",
+    "do not share your OTP, never share the pin", "Please send your otp so i can complete it\u0085within 3 days or verify　now", "x" * 3000 + " A.b.c.d E_F-G " + "https://e.example.org/?q=(5). " * 40, "O P Q r s.t \U0001f600 vi \U0001f600 state bank Vi vi İstanbul ΣΣ", *fixtures.TEXTS,
+]
+
+
+def test_batches_of_texts_find_what_the_column_functions_find(spark):
+    import re
+
+    from tidewatch.functions import knowledge as K
+    from tidewatch.functions import rx, text
+    from tidewatch.operators.text_facts import facts_of, urls_of
+    from tidewatch.operators.text_signals import claimed_brands, haystacks
+
+    df = haystacks(spark.createDataFrame(list(enumerate(ODD_TEXTS)), "i int, t string").coalesce(1), "t")
+    flat = lambda rows: [tuple(map(str, r)) for r in rows]
+    want = df.select("i", text.urls_in(F.col("t")), text.emails_in(F.col("_h0")), text.phones_in(F.col("_h0")), F.regexp_count("_canonical", F.lit(r"\S+")), text.upper_ratio(F.col("_h0")), claimed_brands("_canonical"))
+    got = df.select("i", "t").withColumn("f", facts_of(F.col("t"))).withColumn("u", urls_of(F.col("t"))).select("i", "u", "f.emails", "f.phones", "f.words", "f.caps", "f.claimed", "f.tactics")
+    found = {r["i"]: r["tactics"] for r in got.collect()}
+    assert flat(want.orderBy("i").collect()) == flat(got.drop("tactics").orderBy("i").collect())
+    for id_, _, _, _, _, patterns in K.TACTICS:
+        first = F.array_compact(F.array(*[F.coalesce(*[F.nullif(rx.extract(F.col(f"_h{k}"), p), F.lit("")) for k in range(4)]) for p in patterns]))
+        said = {r[0]: list(dict.fromkeys(re.sub(r"[ \t\n\x0b\f\r]+", " ", x.translate({0xA0: " ", 0x3000: " "})).strip(" ")[:90] for x in r[1]))[:3] for r in df.select("i", first).collect() if r[1]}
+        assert said == {i: t["evidence"] for i, ts in found.items() for t in ts if t["id"] == id_}
+
+
+def test_long_texts_are_not_searched_pattern_by_pattern(spark):
+    plan = analyze(spark.createDataFrame([("a", "b")], "id string, content string")).select("score", "tactics")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(_h0" not in plan and "text_facts" in plan
